@@ -2,20 +2,78 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codelode.llm.decontamination import contaminated
+from codelode.llm.html_extraction import extract_main_text
+from codelode.llm.language_id import identify_language
 from codelode.llm.ngram_join import ngram_jaccard_join
-from codelode.session import load
+from codelode.llm.packing import best_fit_packing
+from codelode.llm.secret_scan import scan_secrets
+from codelode.llm.substring_dedup import repeated_passages
+from codelode.llm.token_counts import TokenRollup
+from codelode.llm.toxicity import score_toxicity
+from codelode.llm.vector_search import nearest_neighbours
+from codelode.session import load, shared_dir
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(load(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted, a tenth of them revised, and the revision replayed: totals by source, language and version."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/codelode-rollup-{uuid.uuid4().hex}")
+    rollup.commit(0, docs.withColumn("op", F.lit("insert")))
+    again = docs.where("doc_id % 10 = 0").withColumn("op", F.lit("revise"))
+    rollup.commit(1, again)
+    rollup.commit(1, again)
+    return rollup.totals()
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(load(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(load(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(load(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(load(spark, sf_dir, "pages"))
+
+
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_toxicity, op3_ngram_jaccard_join, op4_token_counts, op5_secret_scan, op6_best_fit_packing,
+        op7_language_id, op8_html_extraction, op9_vector_search, op10_decontamination,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
