@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from codelode.session import materialize
 
+#: Up to this many edges one task does a round without shuffles; beyond it, rounds are dealt out by node.
+ONE_TASK = 20_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
@@ -21,7 +24,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str
     e = materialize(e.where("u is not null and v is not null and u <> v").distinct(), tag)
     seen = None
     while True:
+        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen or not state[0]:
+            break
+        seen = state
+        if state[0] <= ONE_TASK:
+            e = e.coalesce(1)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if state[0] <= ONE_TASK:
+            both = both.coalesce(1)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
@@ -30,9 +41,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")
         )
         e = materialize(small.select("x.*").where("u <> v").distinct(), tag)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -11,6 +11,8 @@ laid on the document along that diagonal, and the pair counts if some window of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +30,18 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
+def _seed_of(toks: Column, number: int, mask: tuple[int, ...]) -> Callable[[Column], Column]:
+    return lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *[F.get(toks, i + o) for o in mask]).alias("h"))
+
+
 def _seeds(toks: Column) -> Column:
-    """(mask, position, hash) of every place where a mask fits; a text too short for any is hashed whole."""
+    """(position, hash) of every place where a mask fits."""
     parts = []
     for number, mask in enumerate(MASKS):
         span = mask[-1] + 1
         at = F.when(F.size(toks) >= span, F.sequence(F.lit(0), F.size(toks) - span))
 
-        def seed(i: Column, mask=mask, number=number) -> Column:
-            return F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *[F.get(toks, i + o) for o in mask]).alias("h"))
-
-        parts.append(F.coalesce(F.transform(at, seed), F.array().cast("array<struct<pos:int,h:bigint>>")))
+        parts.append(F.coalesce(F.transform(at, _seed_of(toks, number, mask)), F.array().cast("array<struct<pos:int,h:bigint>>")))
     return F.concat(*parts)
 
 

@@ -1,4 +1,4 @@
-"""From candidate buckets to components: star-wise checks that lose no link and expand no group into all pairs."""
+"""From candidate buckets to components: checks that lose no link and expand no group into all pairs."""
 
 from __future__ import annotations
 
@@ -10,50 +10,55 @@ from pyspark.sql import functions as F
 from codelode.llm.components import connected_components
 from codelode.session import materialize
 
+Pairs = Callable[[DataFrame], DataFrame]
 
-def _open(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs that would still join two components, with the component of each end."""
-    ca = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    cb = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(cb, "b", "left").join(ca, "a", "left")
-    joined = joined.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return joined.where("ca <> cb")
 
-
-def linked_components(
-    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame] = lambda x: x
-) -> DataFrame:
+def linked_components(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], Pairs], cross: Callable[[DataFrame, bool], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the nodes that link, from ``buckets`` (key, node) of candidates.
 
-    ``possible`` drops pairs (a, b) that can't link, ``verify`` keeps those that do. In
-    three rounds: each node with the smallest node of its buckets, best shared
-    first; the other pairs with smallest nodes that would join two components; and
-    pairs of one bucket that the smallest node didn't bring together. The third has
-    pairs only where a bucket mixes components.
+    ``verify(nodes)`` prepares a check of pairs (a, b) of these nodes and returns it.
+    First each node is checked with the smallest node of its buckets, the one it
+    shares most keys with; then the other smallest nodes that would still join two
+    components. ``cross(rows, all)`` then gets (key, node, component) of buckets
+    that mix components and names the pairs (a, b) that may link: each node's
+    likeliest, merged and asked again, and at last all that are left.
     """
     of_key = Window.partitionBy("key").orderBy("node")
     stars = buckets.withColumn("a", F.first("node").over(of_key)).where("a <> node").select("key", "a", F.col("node").alias("b"))
     stars = materialize(stars.distinct(), "stars")
+    pairs = materialize(stars.groupBy("a", "b").agg(F.count("*").alias("c")), "pairs")
+    check = verify(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
-    pairs = materialize(possible(stars.groupBy("a", "b").agg(F.count("*").alias("c"))), "pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(verify(best), "links")
+    links = materialize(check(best), "links")
     comp = connected_components(links)
 
-    rest = materialize(_open(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), comp).select("a", "b"), "rest")
+    def of(end: str) -> DataFrame:
+        return comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+
+    rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b").join(of("b"), "b", "left").join(of("a"), "a", "left")
+    rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
-        links = materialize(links.union(verify(rest)), "links")
+        links = materialize(links.union(check(rest)), "links")
         comp = connected_components(links)
+    if cross is None:
+        return comp
 
-    apart = materialize(_open(stars, comp).select("key", "a", "b", "cb"), "apart")
-    if not apart.isEmpty():
-        keys = apart.select("key").distinct()
-        cc = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        inside = stars.join(keys, "key", "left_semi").join(cc, "b", "left").select("key", "b", F.coalesce("cb", "b").alias("cb"))
-        left = apart.select("key", F.col("b").alias("a"), F.col("cb").alias("ca"))
-        cross = left.join(inside, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        cross = materialize(possible(cross.join(pairs, ["a", "b"], "left_anti")), "cross")
-        if not cross.isEmpty():
-            links = materialize(links.union(verify(cross)), "links")
-            comp = connected_components(links)
+    members = stars.select("key", F.col("b").alias("node")).union(stars.select("key", F.col("a").alias("node")).distinct())
+    tried = pairs.select("a", "b")
+    for everything in (False, False, True):
+        placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2")
+        rows = materialize(placed.join(mixed.select("key", "m"), "key"), "mixed")
+        if rows.isEmpty():
+            break
+        ask = materialize(cross(rows, everything).distinct().join(tried, ["a", "b"], "left_anti"), "ask")
+        if ask.isEmpty():
+            if everything:
+                break
+            continue
+        tried = tried.union(ask)
+        links = materialize(links.union(check(ask)), "links")
+        comp = connected_components(links)
+        members = rows.select("key", "node")
     return comp

@@ -11,12 +11,13 @@ second and a third partition too, and a pair both of whose documents run out of
 margins everywhere shares the keys of the empty parts. A key needs about five
 equal shingles, so a passage shared by many documents makes few candidates.
 
-Candidates pass a 1024-bit hashed bitmap (the bit count of the XOR bounds the
-overlap from above) and are then verified on whole texts by sorted-array
-intersection. Documents of equal sets form one class and only its smallest id
-takes part. Links are checked star-wise: each member of a key against the key's
-smallest id, best candidate first, then whatever still joins two components, so a
-group of n near copies costs about n checks, not n squared.
+Documents of equal sets form one class and only its smallest id takes part. Links
+are first checked star-wise, each member of a key against the key's smallest id.
+Keys that still mix components then become tiles of at most TILE members a side:
+hashed bitmaps of at least four bits per shingle are compared, and as the bit
+count of the XOR bounds the overlap from above, only pairs of different components
+that can link leave the tile, each member's nearest first, to be verified on whole
+texts by sorted-array intersection.
 """
 
 from __future__ import annotations
@@ -24,19 +25,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.components import connected_components
+from codelode.llm.links import linked_components
 from codelode.llm.shingles import WordHashes, ascii_words, mix, shingle_hashes
 from codelode.session import materialize, ship
 
-BITMAP_WORDS = 16
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x2545F4914F6CDD1D)
 #: A side is broadcast up to this many ids (8 bytes each); above it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Members of one side of a tile.
+TILE = 2048
+MOST_BITS = 8192
 
 
 def bands(num: int, den: int, growth: float = 1.5) -> "Bands":
@@ -94,10 +98,19 @@ def part_keys(shingles: np.ndarray, cut: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
-    bits[(mix(shingles ^ np.uint64(7)) % np.uint64(BITMAP_WORDS * 64)).astype(np.intp)] = 1
-    return np.packbits(bits).view(np.int64)
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Hashed bits of a set, 4 to 8 per shingle up to MOST_BITS; a longer bitmap folds to a shorter one by OR."""
+    size = min(MOST_BITS, max(64, 1 << (4 * len(shingles) - 1).bit_length())) if len(shingles) else 64
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(shingles ^ np.uint64(7)) % np.uint64(size)).astype(np.intp)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: bytes, words: int) -> np.ndarray:
+    out = np.frombuffer(bits, np.uint64)
+    while len(out) > words:
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
+    return out
 
 
 def _signatures(k: int, num: int, den: int):
@@ -122,9 +135,7 @@ def _signatures(k: int, num: int, den: int):
                     pa.array(np.array(d0, np.uint64).view(np.int64)),
                     pa.array(np.array(d1, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, len(bits) * BITMAP_WORDS + 1, BITMAP_WORDS, dtype=np.int32)), pa.array(np.concatenate(bits))
-                    ),
+                    pa.array(bits, pa.binary()),
                 ],
                 names=["doc_id", "n_shingles", "d0", "d1", "keys", "bits"],
             )
@@ -164,17 +175,65 @@ def _verified(k: int, num: int, den: int):
     return run
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, by the exact test on whole texts."""
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "need")
-    if need.count() <= BROADCAST_IDS:
-        need = F.broadcast(need)
-    texts = docs.join(need, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary")
-    texts = materialize(texts.groupBy("doc_id").agg(F.first("packed").alias("packed")), "texts")
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
-    full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "pa", "pb")
-    return full.mapInArrow(_verified(k, num, den), "a long, b long")
+def _tile(num: int, den: int, everything: bool):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs (a, b) of one tile that may link: of each member with its nearest, or all."""
+        group = group.sort_values(["side", "node"], ignore_index=True)
+        words = min(len(x) for x in group["bits"]) // 8
+        bits = np.array([folded(x, words) for x in group["bits"]])
+        node, comp, size = (group[c].to_numpy(np.int64) for c in ("node", "component", "n"))
+        left, right = group.index[group["side"] <= 1].to_numpy(), group.index[group["side"] >= 1].to_numpy()
+        out_a, out_b = [], []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            far = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            total = size[rows][:, None] + size[right][None, :]
+            ok = (comp[rows][:, None] != comp[right][None, :]) & ((num + den) * (total - far) >= 2 * num * total)
+            ok &= den * np.minimum(size[rows][:, None], size[right][None, :]) >= num * np.maximum(size[rows][:, None], size[right][None, :])
+            if everything:
+                x, y = np.nonzero(ok)
+            else:
+                x = np.flatnonzero(ok.any(axis=1))
+                y = np.where(ok, far * 1.0 / total, np.inf)[x].argmin(axis=1)
+            out_a.append(node[rows[x]])
+            out_b.append(node[right[y]])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return run
+
+
+def _cross(meta: DataFrame, num: int, den: int):
+    def run(rows: DataFrame, everything: bool) -> DataFrame:
+        """Tiles of the keys: blocks of members by a hash, every pair of blocks once. Keys of up to TILE members have one tile."""
+        blocks = F.ceil(F.col("m") / TILE).cast("int")
+        rows = rows.join(meta, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # side 0 is the left block, 2 the right one, 1 both (a block against itself)
+        side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
+        tiled = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "component", "n", "bits")
+        return tiled.groupBy("key", "i", "j").applyInPandas(_tile(num, den, everything), "a long, b long")
+
+    return run
+
+
+def _verifier(docs: DataFrame, k: int, num: int, den: int):
+    def prepare(nodes: DataFrame):
+        """Pack the texts of the nodes once; the check joins pairs with them."""
+        need = materialize(nodes.select(F.col("node").alias("doc_id")), "need")
+        few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+        texts = docs.join(few, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary")
+        texts = materialize(texts.groupBy("doc_id").agg(F.max("packed").alias("packed")), "texts")
+        ta = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
+        tb = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
+
+        def check(pairs: DataFrame) -> DataFrame:
+            full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "pa", "pb")
+            return full.mapInArrow(_verified(k, num, den), "a long, b long")
+
+        return check
+
+    return prepare
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -191,7 +250,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>, bits array<long>"
+    schema = "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>, bits binary"
     sigs = materialize(docs.mapInArrow(_signatures(k, num, den), schema), "sigs")
 
     # Equal sets are one class; its smallest id stands for it.
@@ -200,53 +259,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     member = materialize(full.select("doc_id", "n_shingles", "d0", "d1").join(reps, ["n_shingles", "d0", "d1"]).select("doc_id", "rep"), "member")
     only = member.where("doc_id = rep").select("doc_id").distinct()
 
-    # Candidates: each member of a key with the smallest id of that key.
-    posted = full.select("doc_id", "keys").join(only, "doc_id", "left_semi").select(F.explode("keys").alias("key"), "doc_id")
-    of_key = Window.partitionBy("key").orderBy("doc_id")
-    stars = posted.withColumn("a", F.first("doc_id").over(of_key)).where("a <> doc_id").select("key", "a", F.col("doc_id").alias("b"))
-    stars = materialize(stars.distinct(), "stars")
-
-    meta = full.select("doc_id", "n_shingles", "bits").join(only, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and bitmaps allow a link."""
-        ma = meta.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"))
-        mb = meta.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
-        apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        joined = pairs.join(mb, "b").join(ma, "a")
-        # overlap <= (na + nb - apart) / 2, and the test needs (num + den) * overlap >= num * (na + nb)
-        ok = joined.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        return ok.where((num + den) * (F.col("na") + F.col("nb") - apart) >= 2 * num * (F.col("na") + F.col("nb"))).select(*pairs.columns)
-
-    def open_pairs(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs that would still join two components."""
-        ca = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        cb = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        joined = pairs.join(cb, "b", "left").join(ca, "a", "left")
-        return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-
-    pairs = materialize(possible(stars.groupBy("a", "b").agg(F.count("*").alias("c"))), "pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(_verify(docs, best, k, num, den), "links")
-    comp = connected_components(links)
-
-    rest = materialize(open_pairs(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), comp).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        links = materialize(links.union(_verify(docs, rest, k, num, den)), "links")
-        comp = connected_components(links)
-
-    # Members of one key that the key's smallest id did not bring together.
-    apart = materialize(open_pairs(stars, comp).select("key", "a", "b", F.coalesce("cb", "b").alias("cb")), "apart")
-    if not apart.isEmpty():
-        keys = apart.select("key").distinct()
-        cc = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        inside = stars.join(keys, "key", "left_semi").join(cc, "b", "left").select("key", "b", F.coalesce("cb", "b").alias("cb"))
-        left = apart.select("key", F.col("b").alias("a"), F.col("cb").alias("ca"))
-        cross = left.join(inside, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        cross = materialize(possible(cross.join(pairs, ["a", "b"], "left_anti")), "cross")
-        if not cross.isEmpty():
-            links = materialize(links.union(_verify(docs, cross, k, num, den)), "links")
-            comp = connected_components(links)
+    posted = full.select("doc_id", "keys").join(only, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    meta = full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits").join(only.toDF("node"), "node", "left_semi")
+    meta = meta.groupBy("node").agg(F.max("n").alias("n"), F.max_by("bits", "n").alias("bits"))
+    comp = linked_components(posted, _verifier(docs, k, num, den), _cross(meta, num, den))
 
     groups = member.distinct().join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     groups = groups.select("doc_id", F.coalesce("component", "rep").alias("component"))

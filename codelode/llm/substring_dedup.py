@@ -26,8 +26,8 @@ from codelode.llm.shingles import _MUL, WordHashes, _S32, mix, shingle_hashes
 from codelode.session import materialize, ship
 
 BANDS, ROWS, SHINGLE, REACH = 10, 4, 5, 4
-#: Ids of documents that may be broadcast (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Documents whose asked-for places may be broadcast (about 100 bytes each); beyond it the join shuffles.
+BROADCAST_PLACES = 100_000
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 LINE, PART = 0, 1
 
@@ -179,18 +179,25 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den:
         units.where(F.col("kind") == LINE).groupBy("h").agg(F.count("*").alias("c"), place.alias("p"), F.first("bands").alias("bands")), "nodes"
     )
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    def prepare(nodes: DataFrame):
+        """Fetch the words of the nodes once, from each one's first place; the check joins pairs with them."""
+        need = nodes.select(F.col("node").alias("h"))
         where = line_nodes.select("h", "p.*").join(need, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n_words")).alias("places"))
         where = materialize(where, "places")
-        small = F.broadcast(where) if where.count() <= BROADCAST_IDS // 20 else where
+        small = F.broadcast(where) if where.count() <= BROADCAST_PLACES else where
         cited = docs.join(small, "doc_id").select("text", "places").mapInArrow(_cited, "h long, words binary")
-        cited = materialize(cited.groupBy("h").agg(F.first("words").alias("words")), "cited")
-        full = pairs.join(cited.select(F.col("h").alias("a"), F.col("words").alias("wa")), "a").join(cited.select(F.col("h").alias("b"), F.col("words").alias("wb")), "b")
-        return full.select("a", "b", "wa", "wb").mapInArrow(_similar(num, den), "a long, b long")
+        cited = materialize(cited.groupBy("h").agg(F.max("words").alias("words")), "cited")
+        ca = cited.select(F.col("h").alias("a"), F.col("words").alias("wa"))
+        cb = cited.select(F.col("h").alias("b"), F.col("words").alias("wb"))
+
+        def check(pairs: DataFrame) -> DataFrame:
+            full = pairs.join(cb, "b").join(ca, "a").select("a", "b", "wa", "wb")
+            return full.mapInArrow(_similar(num, den), "a long, b long")
+
+        return check
 
     buckets = line_nodes.select(F.explode("bands").alias("key"), F.col("h").alias("node"))
-    comp = linked_components(buckets, verify)
+    comp = linked_components(buckets, prepare)
     named = line_nodes.select("h", "c", "p").join(comp.select(F.col("node").alias("h"), "component"), "h", "left")
     named = named.select("h", "c", "p", F.coalesce("component", "h").alias("cluster_id"))
     groups = named.groupBy("cluster_id").agg(F.sum("c").alias("c"), F.min("p").alias("first")).where("c > 1")
