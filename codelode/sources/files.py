@@ -34,8 +34,8 @@ def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def file_text(content: Column) -> Column:
-    """Contents as text: UTF-8 without its mark, else the western code page."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "windows-1252"))
+    """Contents as text: UTF-8 without its mark, else Latin-1 (bytes 80 to 9F stay control characters)."""
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
     return F.regexp_replace(text, "^﻿", "")
 
 
