@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Scratch folders made by this driver process, oldest first.
 _made: list[str] = []
@@ -50,6 +51,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows (narrow ones: 8 to 32 bytes each).
+
+    Meant for materialized tables, whose count reads file footers only. A larger
+    table is returned as it is and the join shuffles.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(spark: SparkSession, keep_from: int = 0) -> None:
     """Delete scratch folders made so far. Call only when nothing lazy still reads them."""
     jvm = spark.sparkContext._jvm
