@@ -94,6 +94,6 @@ def contaminated(docs: DataFrame, bench: DataFrame, similarity: float = 0.8, win
 
 def decontaminate(docs: DataFrame, bench: DataFrame, similarity: float = 0.8, window: int = 20) -> DataFrame:
     """``docs`` without the documents that hold a test item; its columns and its other rows stay."""
-    bad = contaminated(docs, bench, similarity, window).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = contaminated(docs, bench, similarity, window).select("doc_id").distinct()
     bad = materialize(bad, "bad")
-    return docs.join(_small(bad), F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(_small(bad), "doc_id", "left_anti").select(*docs.columns)

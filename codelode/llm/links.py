@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.components import connected_components
-from codelode.session import materialize
+from codelode.session import broadcast_if_small, materialize
 
 Pairs = Callable[[DataFrame], DataFrame]
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], Pairs], cross: Callable[[DataFrame, bool], DataFrame] | None = None) -> DataFrame:
+def linked_components(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], Pairs], cross: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the nodes that link, from ``buckets`` (key, node) of candidates.
 
     ``verify(nodes)`` prepares a check of pairs (a, b) of these nodes and returns it.
     First each node is checked with the smallest node of its buckets, the one it
     shares most keys with; then the other smallest nodes that would still join two
-    components. ``cross(rows, all)`` then gets (key, node, component) of buckets
-    that mix components and names the pairs (a, b) that may link: each node's
-    likeliest, merged and asked again, and at last all that are left.
+    components. ``cross(rows, most)`` then gets (key, node, m, component) of buckets
+    that mix components and names the pairs (a, b, whole) that may link: all of a
+    bucket, or, over ``most`` a member, each node's likeliest. Those are checked and
+    merged, and buckets that weren't whole are asked again, at last without a limit.
     """
     of_key = Window.partitionBy("key").orderBy("node")
     stars = buckets.withColumn("a", F.first("node").over(of_key)).where("a <> node").select("key", "a", F.col("node").alias("b"))
@@ -30,35 +31,42 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame
     check = verify(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+    best = materialize(best, "best")
     links = materialize(check(best), "links")
-    comp = connected_components(links)
+    comp = _components(links)
 
     def of(end: str) -> DataFrame:
         return comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
 
-    rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b").join(of("b"), "b", "left").join(of("a"), "a", "left")
+    rest = pairs.join(broadcast_if_small(best), ["a", "b"], "left_anti").select("a", "b").join(of("b"), "b", "left").join(of("a"), "a", "left")
     rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
         links = materialize(links.union(check(rest)), "links")
-        comp = connected_components(links)
+        comp = _components(links)
     if cross is None:
         return comp
 
     members = stars.select("key", F.col("b").alias("node")).union(stars.select("key", F.col("a").alias("node")).distinct())
     tried = pairs.select("a", "b")
-    for everything in (False, False, True):
+    for most in (4, 16, 1 << 40):
         placed = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2")
-        rows = materialize(placed.join(mixed.select("key", "m"), "key"), "mixed")
-        if rows.isEmpty():
+        # keys of the same members ask for the same pairs, so one of them stands for all
+        same = [F.bit_xor(F.xxhash64("node")).alias("s0"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s1")]
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *same)
+        mixed = materialize(mixed.where("lo <> hi and m > 2").groupBy("m", "s0", "s1").agg(F.min("key").alias("key")).select("key", "m"), "keys")
+        rows = materialize(placed.join(broadcast_if_small(mixed), "key"), "mixed")
+        named = materialize(cross(rows, most).groupBy("a", "b").agg(F.min("whole").alias("whole")), "named")
+        whole = named.where("not whole").isEmpty()
+        ask = materialize(named.join(tried, ["a", "b"], "left_anti").select("a", "b"), "ask")
+        if not ask.isEmpty():
+            tried = tried.union(ask)
+            links = materialize(links.union(check(ask)), "links")
+            comp = _components(links)
+        if whole:  # every pair of different components that can link has been checked
             break
-        ask = materialize(cross(rows, everything).distinct().join(tried, ["a", "b"], "left_anti"), "ask")
-        if ask.isEmpty():
-            if everything:
-                break
-            continue
-        tried = tried.union(ask)
-        links = materialize(links.union(check(ask)), "links")
-        comp = connected_components(links)
         members = rows.select("key", "node")
     return comp
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return broadcast_if_small(materialize(connected_components(links), "components"))

@@ -16,8 +16,9 @@ are first checked star-wise, each member of a key against the key's smallest id.
 Keys that still mix components then become tiles of at most TILE members a side:
 hashed bitmaps of at least four bits per shingle are compared, and as the bit
 count of the XOR bounds the overlap from above, only pairs of different components
-that can link leave the tile, each member's nearest first, to be verified on whole
-texts by sorted-array intersection.
+that can link leave the tile to be verified on whole texts by sorted-array intersection;
+where they are many, each member's nearest first, until the merged components
+leave few.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.links import linked_components
 from codelode.llm.shingles import WordHashes, ascii_words, mix, shingle_hashes
-from codelode.session import materialize, ship
+from codelode.session import broadcast_if_small, materialize, ship
 
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x2545F4914F6CDD1D)
 #: A side is broadcast up to this many ids (8 bytes each); above it the join shuffles.
@@ -175,44 +175,79 @@ def _verified(k: int, num: int, den: int):
     return run
 
 
-def _tile(num: int, den: int, everything: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs (a, b) of one tile that may link: of each member with its nearest, or all."""
-        group = group.sort_values(["side", "node"], ignore_index=True)
-        words = min(len(x) for x in group["bits"]) // 8
-        bits = np.array([folded(x, words) for x in group["bits"]])
-        node, comp, size = (group[c].to_numpy(np.int64) for c in ("node", "component", "n"))
-        left, right = group.index[group["side"] <= 1].to_numpy(), group.index[group["side"] >= 1].to_numpy()
-        out_a, out_b = [], []
-        for at in range(0, len(left), 64):
-            rows = left[at : at + 64]
-            far = np.bitwise_count(bits[rows][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            total = size[rows][:, None] + size[right][None, :]
-            ok = (comp[rows][:, None] != comp[right][None, :]) & ((num + den) * (total - far) >= 2 * num * total)
-            ok &= den * np.minimum(size[rows][:, None], size[right][None, :]) >= num * np.maximum(size[rows][:, None], size[right][None, :])
-            if everything:
-                x, y = np.nonzero(ok)
-            else:
-                x = np.flatnonzero(ok.any(axis=1))
-                y = np.where(ok, far * 1.0 / total, np.inf)[x].argmin(axis=1)
-            out_a.append(node[rows[x]])
-            out_b.append(node[right[y]])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+def _tile_pairs(key: int, tile: pa.Table, num: int, den: int, most: int):
+    """(a, b, whole): the pairs of one tile that may link and have no smaller key in common; over ``most`` per member, only each left member's nearest, and whole is false."""
+    side, node, comp, size = (tile.column(c).to_numpy() for c in ("side", "node", "component", "n"))
+    bits = tile.column("bits").to_pylist()
+    keys = [set(x) for x in tile.column("own").to_pylist()]
+    words = min(map(len, bits)) // 8
+    table = np.array([folded(x, words) for x in bits])
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+    found, nearest, whole, count = [], [], True, 0
+    for at in range(0, len(left), 64):
+        rows = left[at : at + 64]
+        far = np.bitwise_count(table[rows][:, None, :] ^ table[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        total = size[rows][:, None] + size[right][None, :]
+        ok = (comp[rows][:, None] != comp[right][None, :]) & ((num + den) * (total - far) >= 2 * num * total)
+        ok &= den * np.minimum(size[rows][:, None], size[right][None, :]) >= num * np.maximum(size[rows][:, None], size[right][None, :])
+        x, y = np.nonzero(ok)
+        own = [min(keys[a] & keys[b]) == key for a, b in zip(rows[x].tolist(), right[y].tolist(), strict=True)]
+        x, y = x[own], y[own]
+        if not len(x):
+            continue
+        count += len(x)
+        whole = whole and count <= most * len(node)
+        if whole:
+            found.append((node[rows[x]], node[right[y]]))
+        order = np.lexsort((far[x, y] / total[x, y], x))
+        first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
+        nearest.append((node[rows[x[first]]], node[right[y[first]]]))
+    for a, b in found if whole else nearest:
+        yield a, b, whole
+
+
+def _tiles(num: int, den: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by tile; one tile is held at a time."""
+        held: list[pa.RecordBatch] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            tile = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            if len(tile.column("component").unique()) == 1:
+                return
+            for a, b, whole in _tile_pairs(tile.column("key")[0].as_py(), tile, num, den, most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([whole] * len(a))], names=["a", "b", "whole"])
+
+        last = None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], axis=1)
+            if not len(place):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, [len(place)]])
+            for x, y in zip(starts[:-1], starts[1:], strict=True):
+                if held and tuple(place[x]) != last:
+                    yield from close()
+                last = tuple(place[x])
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from close()
 
     return run
 
 
 def _cross(meta: DataFrame, num: int, den: int):
-    def run(rows: DataFrame, everything: bool) -> DataFrame:
+    def run(rows: DataFrame, most: int) -> DataFrame:
         """Tiles of the keys: blocks of members by a hash, every pair of blocks once. Keys of up to TILE members have one tile."""
         blocks = F.ceil(F.col("m") / TILE).cast("int")
-        rows = rows.join(meta, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        own = rows.groupBy("node").agg(F.collect_list("key").alias("own"))  # as many as a document's size allows
+        rows = rows.join(meta.join(own, "node"), "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         # side 0 is the left block, 2 the right one, 1 both (a block against itself)
         side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
-        tiled = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "component", "n", "bits")
-        return tiled.groupBy("key", "i", "j").applyInPandas(_tile(num, den, everything), "a long, b long")
+        tiled = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "component", "n", "bits", "own")
+        tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return tiled.mapInArrow(_tiles(num, den, most), "a long, b long, whole boolean")
 
     return run
 
@@ -228,7 +263,7 @@ def _verifier(docs: DataFrame, k: int, num: int, den: int):
         tb = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
 
         def check(pairs: DataFrame) -> DataFrame:
-            full = pairs.join(tb, "b").join(ta, "a").select("a", "b", "pa", "pb")
+            full = tb.join(broadcast_if_small(pairs), "b").join(ta, "a").select("a", "b", "pa", "pb")
             return full.mapInArrow(_verified(k, num, den), "a long, b long")
 
         return check
@@ -257,7 +292,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     full = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = full.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"))
     member = materialize(full.select("doc_id", "n_shingles", "d0", "d1").join(reps, ["n_shingles", "d0", "d1"]).select("doc_id", "rep"), "member")
-    only = member.where("doc_id = rep").select("doc_id").distinct()
+    only = member.where("doc_id = rep").select("doc_id").distinct()  # one row per class
 
     posted = full.select("doc_id", "keys").join(only, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     meta = full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits").join(only.toDF("node"), "node", "left_semi")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.links import linked_components
 from codelode.llm.shingles import _MUL, WordHashes, _S32, mix, shingle_hashes
-from codelode.session import materialize, ship
+from codelode.session import broadcast_if_small, materialize, ship
 
 BANDS, ROWS, SHINGLE, REACH = 10, 4, 5, 4
 #: Documents whose asked-for places may be broadcast (about 100 bytes each); beyond it the join shuffles.
@@ -191,7 +191,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den:
         cb = cited.select(F.col("h").alias("b"), F.col("words").alias("wb"))
 
         def check(pairs: DataFrame) -> DataFrame:
-            full = pairs.join(cb, "b").join(ca, "a").select("a", "b", "wa", "wb")
+            full = cb.join(broadcast_if_small(pairs), "b").join(ca, "a").select("a", "b", "wa", "wb")
             return full.mapInArrow(_similar(num, den), "a long, b long")
 
         return check

@@ -29,9 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of 5-word Jaccard 0.8; documents without an id stay."""
     joined = ngram_jaccard_join(docs, k=5, num=80, den=100)
-    gone = materialize(joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = materialize(joined.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     small = F.broadcast(gone) if gone.count() <= 2_000_000 else gone
-    return docs.join(small, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(small, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
