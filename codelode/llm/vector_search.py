@@ -95,7 +95,9 @@ class VantagePointTree:
 
         visit(self.root, np.arange(len(q)))
         ids = np.where(rows_of >= 0, self.ids[rows_of], -1)
-        exact = (queries[:, None, :] * self.vectors[rows_of]).sum(axis=2)
+        exact = np.zeros(rows_of.shape)
+        for i in range(queries.shape[1]):  # in the order of the components, so the sum is the same everywhere
+            exact += queries[:, i : i + 1] * self.vectors[rows_of, i]
         exact[~np.isfinite(best)] = -np.inf
         ids[~np.isfinite(best)] = np.iinfo(np.int64).max
         order = np.lexsort((ids, -exact), axis=1)[:, :k]
