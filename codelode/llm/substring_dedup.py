@@ -9,7 +9,8 @@ by connected components.
 A passage copied into the middle of another paragraph has no line of its own, so
 each text is also cut into sub-paragraphs at places that its words alone choose
 (minima of a rolling hash), the same in every copy. Those of equal words repeat;
-neighbours that do are joined to passages, kept from ``min_words`` words on.
+neighbours that do are joined to passages, kept from ``min_passage`` words on (a
+copy of w words loses less than two sub-paragraphs, of 9 words each on average, at its ends).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from codelode.llm.links import linked_components
 from codelode.llm.shingles import _MUL, WordHashes, _S32, mix, shingle_hashes
 from codelode.session import broadcast_if_small, materialize, ship
 
-BANDS, ROWS, SHINGLE, REACH = 10, 4, 5, 4
+BANDS, ROWS, SHINGLE, REACH, LONGEST = 10, 4, 5, 4, 16
 #: Documents whose asked-for places may be broadcast (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_PLACES = 100_000
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -51,7 +52,12 @@ def cuts(hashes: np.ndarray) -> np.ndarray:
         ok &= v[REACH : REACH + m] < v[REACH - j : REACH - j + m]
         ok &= v[REACH : REACH + m] <= v[REACH + j : REACH + j + m]
     at = np.flatnonzero(ok)
-    return np.concatenate([[0], at[at > 0]]).astype(np.intp)
+    at = np.concatenate([[0], at[at > 0]]).astype(np.intp)
+    # runs of few words have no least one: there, every LONGEST words
+    gaps = np.diff(np.append(at, n))
+    if gaps.max() > 2 * LONGEST:
+        at = np.concatenate([np.arange(a, a + g, LONGEST) if g > 2 * LONGEST else [a] for a, g in zip(at, gaps, strict=True)]).astype(np.intp)
+    return at
 
 
 def _content(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -155,14 +161,14 @@ def _similar(num: int, den: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100, min_passage: int = 15) -> DataFrame:
     """(doc_id, start_word, n_words, cluster_id, kind, removed): every repeated paragraph and passage of ``docs``.
 
     Words are counted over the whole text, from 0, as runs of characters other than
     ASCII white space. kind is paragraph or passage; a passage that lies in a listed paragraph
     is not listed again. cluster_id names the group of alike paragraphs (or the first
     sub-paragraph of a passage). removed is false for the first place of a group, by
-    doc_id and word, which stays. Null and empty texts and texts under ``min_words``
+    doc_id and word, which stays. Null and empty texts and texts under ``min_passage``
     words hold none; a text that repeats itself within one document counts. Rows that
     repeat an id are one document's places; rows without an id take no part. An
     empty table gives an empty result. Other columns are not read, so their names may clash.
@@ -221,7 +227,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den:
     runs = hits.withColumn("new", breaks.cast("int")).withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "run", "removed").agg(
         F.min("start").alias("start_word"), F.sum("n_words").alias("n_words"), F.min_by("h", "start").alias("cluster_id")
-    ).where(F.col("n_words") >= min_words)
+    ).where(F.col("n_words") >= min_passage)
     # passages that no listed paragraph covers
     p = paragraphs.select("doc_id", F.struct("start_word", "n_words").alias("line"))
     covers = p.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
