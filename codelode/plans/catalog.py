@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import codes, text
-from codelode.operators import graph, relations
+from codelode.operators import graph, project_state, relations
 from codelode.session import load
+from codelode.sinks import render
 from codelode.sources import build_log, lint
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -640,6 +641,137 @@ def capped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("k"))
 
 
+# ---- more lookups, parsers and renderers ---------------------------------------------------
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, 'W' || (500 + l_linenumber) AS code, 'C:\\r\\u' || (l_suppkey % 50) || '.pas' AS file, CAST(l_quantity AS INT) AS line, 'say "' || l_returnflag || '", ok' AS message
+FROM lineitem WHERE l_linenumber <> 3
+""")
+def csv_lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = load(spark, sf_dir, "lineitem").where("l_linenumber <> 3")
+    s = lambda c: F.col(c).cast("string")
+    line = F.concat(
+        F.lit('"C:\\r\\u'), (F.col("l_suppkey") % 50).cast("string"), F.lit('.pas",'), F.col("l_quantity").cast("int").cast("string"), F.lit(",1, w"), (F.col("l_linenumber") + 500).cast("string"), F.lit(',"say ""'), s("l_returnflag"), F.lit('"", ok"')
+    )
+    rows = item.select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("path"), line.alias("text"))
+    return lint.csv_findings(rows).select("path.*", "code", "file", "line", "message")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ';' WHEN p_partkey % 3 = 1 THEN ',' END AS sep FROM part
+""")
+def csv_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, 'a;"b,,,,";c,d;e').when(k == 1, F.concat("p_name", F.lit(',"x;y;z;w",2;3'))).otherwise("no marks here")
+    return load(spark, sf_dir, "part").select("p_partkey", lint.delimiter(line).alias("sep"))
+
+
+@query("""
+SELECT p_partkey, 'src\\' || p_partkey || '.pas' AS file, p_size AS line, CASE WHEN p_size % 2 = 0 THEN p_size + 1 END AS col, 'ID' || p_size AS quoted, 'lName' || p_size AS at_col FROM part
+""")
+def message_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    place = F.when(F.col("p_size") % 2 == 0, F.concat(size, F.lit(","), (F.col("p_size") + 1).cast("string"))).otherwise(size)
+    line = F.concat(F.lit("src\\"), F.col("p_partkey").cast("string"), F.lit(".pas("), place, F.lit("): error E2003: Undeclared 'ID"), size, F.lit("'"))
+    at = text.compiler_location(line)
+    ident = text.identifier_at(F.concat(F.lit("  lName"), size, F.lit(" := 1")), F.lit(5))
+    return load(spark, sf_dir, "part").select("p_partkey", at["file"].alias("file"), at["line"].alias("line"), at["col"].alias("col"), text.quoted_identifier(line).alias("quoted"), ident.alias("at_col"))
+
+
+@query("""
+WITH c AS (SELECT o_orderkey AS id, o_orderkey % 4 AS prio, 'p' || (o_orderkey % 4) || '/' || (o_custkey % 50) AS path FROM orders UNION ALL SELECT o_orderkey, 9, 'late/' || (o_custkey % 70) FROM orders),
+f AS (SELECT DISTINCT 'P' || (s_suppkey % 3) || '/' || (s_suppkey % 40) AS path FROM supplier UNION SELECT 'LATE/' || s_suppkey FROM supplier),
+b AS (SELECT id, min_by(path, prio) AS path FROM c WHERE lower(path) IN (SELECT lower(path) FROM f) GROUP BY id)
+SELECT o_orderkey AS id, b.path FROM orders LEFT JOIN b ON b.id = o_orderkey
+""")
+def candidate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, sup = load(spark, sf_dir, "orders"), load(spark, sf_dir, "supplier")
+    t = lambda c: c.cast("string")
+    key, cust, supp = F.col("o_orderkey"), F.col("o_custkey"), F.col("s_suppkey")
+    first = o.select(key.alias("id"), (key % 4).alias("prio"), F.concat(F.lit("p"), t(key % 4), F.lit("/"), t(cust % 50)).alias("path"))
+    late = o.select(key.alias("id"), F.lit(9).cast("long").alias("prio"), F.concat(F.lit("late/"), t(cust % 70)).alias("path"))
+    files = sup.select(F.concat(F.lit("P"), t(supp % 3), F.lit("/"), t(supp % 40)).alias("path")).union(sup.select(F.concat(F.lit("LATE/"), t(supp)).alias("path")))
+    return relations.first_candidate(o.select(key.alias("id")), first.union(late), files)
+
+
+@query("""
+SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'P' QUALIFY count(*) OVER (PARTITION BY o_custkey) = 1
+""")
+def exactly_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.only_match(load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey"), "o_custkey")
+
+
+@query("""
+SELECT c_custkey AS key, c_mktsegment AS before, s_name AS after FROM customer JOIN supplier ON s_suppkey = c_custkey
+WHERE c_mktsegment <> s_name AND c_custkey % 5 <> 0 AND s_suppkey % 7 <> 0
+""")
+def context_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 5 == 0, " Unknown").otherwise(F.col("c_mktsegment")).alias("value"))
+    after = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 7 == 0, "?").otherwise(F.col("s_name")).alias("value"))
+    return relations.context_mismatches(before, after)
+
+
+@query("""
+SELECT l_returnflag || ' | rep' || l_linenumber || ' | ' || l_linestatus || ' | m' || l_suppkey || ':' || CAST(l_quantity AS INT) || ' | a/b c' AS value FROM lineitem
+""")
+def finding_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("seq"), F.col("l_returnflag").alias("severity"), F.concat(F.lit("rep"), F.col("l_linenumber").cast("string")).alias("report"), F.col("l_linestatus").alias("section"),
+        F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("module"), F.col("l_quantity").cast("int").alias("line"), F.lit("a|b\nc").alias("message"),
+    )
+    return render.finding_lines(rows)
+
+
+@query("""
+SELECT 'analyzer.' || CASE WHEN l_returnflag = 'R' THEN 'dead-code' ELSE 'read-set' END AS rule_id, CASE WHEN l_linestatus = 'F' THEN 'warning' ELSE 'note' END AS level, 'src/u' || l_suppkey || '.pas' AS uri,
+  CAST(l_quantity AS INT) AS line, CASE WHEN l_returnflag = 'R' THEN 'Dead code' ELSE 'Read+Set' END || ': x' || l_linenumber AS message FROM lineitem WHERE l_linenumber <> 2
+""")
+def sarif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = F.when(F.col("l_returnflag") == "R", "Dead code").otherwise("Read+Set")
+    up = F.when(F.col("l_linenumber") == 2, "..\\..\\out.pas").otherwise(F.concat(F.lit("src\\a\\..\\.\\u"), F.col("l_suppkey").cast("string"), F.lit(".pas")))
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linestatus") == "F", "strong-warning").otherwise("warning").alias("severity"), section.alias("section"), up.alias("path"), F.col("l_quantity").cast("int").alias("line"),
+        F.concat(F.lit("x"), F.col("l_linenumber").cast("string")).alias("message"), F.lit(None).cast("string").alias("id"),
+    )
+    none = spark.createDataFrame([], "code string, path string, file string, line int, col int, message string")
+    place = F.get("result.locations", F.lit(0))["physicalLocation"]
+    out = render.sarif_results(none, rows)
+    return out.select("rule_id", F.col("result.level").alias("level"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"), F.col("result.message.text").alias("message"))
+
+
+@query("""
+WITH h AS (SELECT CAST(o_orderkey AS VARCHAR) AS ts, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 9 END AS total FROM orders),
+d AS (SELECT *, total - last_value(total IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS delta FROM h WHERE o_orderkey < 500)
+SELECT '| ' || ts || ' | ' || coalesce(CAST(total AS VARCHAR), '?') || ' | ' || CASE WHEN delta IS NULL THEN '' WHEN delta = 0 THEN '0' ELSE printf('%+d', CAST(delta AS BIGINT)) END || ' |' AS value FROM (SELECT * FROM d ORDER BY ts DESC LIMIT 20)
+""")
+def trend_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = load(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.lit(1).alias("project"), key, key.cast("string").alias("summary_timestamp"), F.when(key % 3 != 0, F.col("o_custkey") % 9).alias("total"))
+    return render.trend_lines(relations.trend(rows, ["total"], "project", "o_orderkey"), ["total"])
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (NOT coalesce(s.s_nationkey = c.c_nationkey, false)) AS to_validate, count(*) FILTER (coalesce(s.s_nationkey = c.c_nationkey, false)) AS skipped
+FROM customer c LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey
+""")
+def form_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("hash"))
+    old = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("hash"), F.lit("r").alias("resource"), F.lit("OK").alias("status"))
+    return project_state.form_cache_stats(relations.changed_or_unknown(now, old, "c_custkey", ["hash"]))
+
+
+@query("""
+SELECT count(DISTINCT p) AS changed, count(DISTINCT CASE WHEN p LIKE '%.pas' THEN lower(regexp_extract(p, '([^/]+)[.]pas$', 1)) END) AS units
+FROM (SELECT CASE WHEN l_linenumber = 1 THEN 'src/U' || (l_suppkey % 30) || '.pas' ELSE 'doc/' || (l_suppkey % 20) || '.txt' END AS p FROM lineitem WHERE l_linenumber <= 2)
+""")
+def changed_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supp = F.col("l_suppkey")
+    new = F.when(F.col("l_linenumber") == 1, F.concat(F.lit(' M "src\\U'), (supp % 30).cast("string"), F.lit('.pas"'))).otherwise(F.concat(F.lit("R  old.txt -> ./doc/"), (supp % 20).cast("string"), F.lit(".txt")))
+    changed = project_state.changed_files(load(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(new.alias("text")))
+    return changed.agg(F.count("*").alias("changed")).crossJoin(project_state.changed_units(changed).agg(F.count("*").alias("units")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependency edges inside cycles, the best to cut first."""
     return hotspot_pairs(spark, sf_dir)
