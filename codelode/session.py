@@ -60,19 +60,20 @@ def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def release(spark: SparkSession, keep_from: int = 0) -> None:
-    """Delete scratch folders made so far. Call only when nothing lazy still reads them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made[keep_from:]:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-    del _made[keep_from:]
+def scratch_paths() -> list[str]:
+    """The scratch folders that this driver process has made and not released."""
+    return list(_made)
 
 
-def scratch_mark() -> int:
-    """A position to hand to :func:`release` so that only later folders go."""
-    return len(_made)
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders. Call only when nothing lazy still reads them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if path in _made:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+            _made.remove(path)
 
 
 def ship(spark: SparkSession) -> None:
