@@ -7,7 +7,9 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +19,35 @@ from codelode.llm.language_id import identify_language
 from codelode.llm.ngram_join import ngram_jaccard_join
 from codelode.llm.packing import best_fit_packing
 from codelode.llm.secret_scan import redact_secrets
-from codelode.session import load, materialize, shared_dir
+from codelode.session import load, materialize, release, scratch_paths, shared_dir
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch folders of the stage called last.
+_last: list[str] = []
 
+
+def stage(f: Stage) -> Stage:
+    """Frees the scratch of the stage before: its result has been written by the time the next one gets its documents."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _last)
+        before = set(scratch_paths())
+        out = f(spark, docs, sf_dir)
+        _last[:] = [x for x in scratch_paths() if x not in before]
+        return out
+
+    return run_stage
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null, empty or letterless texts. lang becomes the predicted one."""
+    """Rejects documents without a language: null, empty or letterless texts. A missing lang becomes the predicted one."""
     out = identify_language(docs, keep=True).where("lang_pred <> 'und'")
-    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of 5-word Jaccard 0.8; documents without an id stay."""
     joined = ngram_jaccard_join(docs, k=5, num=80, den=100)
@@ -34,16 +56,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(small, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of ``benchmark``."""
     return decontaminate(docs, load(spark, sf_dir, "benchmark"))
 
 
+@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; every document stays."""
     return redact_secrets(docs)
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per token piece with its place in a training sequence."""
     return best_fit_packing(docs)
@@ -65,8 +90,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents`` of ``sf_dir``."""
     root = f"{shared_dir(spark)}/codelode-pipeline-{uuid.uuid4().hex}"
     docs = load(spark, sf_dir, "documents")
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (name, apply) in enumerate(STAGES):
         path = f"{root}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        apply(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
