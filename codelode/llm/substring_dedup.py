@@ -4,7 +4,8 @@ Paragraphs are lines. Those of ``min_words`` words get a MinHash of 40 values ov
 5-word shingles, cut into 10 bands of 4; at Jaccard 0.8 a pair shares a band with
 probability 0.995, at 0.9 with 0.99998. Paragraphs of equal words are one node; nodes
 that share a band are joined, checked by exact Jaccard on their words, and clustered
-by connected components.
+by connected components: first each with its band's smallest node, then, where a band still
+mixes components, every pair whose sizes and hashed bitmaps leave room for a link.
 
 A passage copied into the middle of another paragraph has no line of its own, so
 each text is also cut into sub-paragraphs at places that its words alone choose
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.links import linked_components
+from codelode.llm.ngram_join import _cross, bitmap
 from codelode.llm.shingles import _MUL, WordHashes, _S32, mix, shingle_hashes
 from codelode.session import broadcast_if_small, materialize, ship
 
@@ -161,6 +163,14 @@ def _similar(num: int, den: int):
     return run
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, bits): the number of distinct shingles of a paragraph and their hashed bits."""
+    hashed = WordHashes()
+    for batch in batches:
+        sets = [shingle_hashes(hashed.of(x.as_py().split()), SHINGLE) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["node", "n", "bits"])
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100, min_passage: int = 15) -> DataFrame:
     """(doc_id, start_word, n_words, cluster_id, kind, removed): every repeated paragraph and passage of ``docs``.
 
@@ -185,6 +195,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den:
         units.where(F.col("kind") == LINE).groupBy("h").agg(F.count("*").alias("c"), place.alias("p"), F.first("bands").alias("bands")), "nodes"
     )
 
+    words_of: list[DataFrame] = []
+
     def prepare(nodes: DataFrame):
         """Fetch the words of the nodes once, from each one's first place; the check joins pairs with them."""
         need = nodes.select(F.col("node").alias("h"))
@@ -193,6 +205,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den:
         small = F.broadcast(where) if where.count() <= BROADCAST_PLACES else where
         cited = docs.join(small, "doc_id").select("text", "places").mapInArrow(_cited, "h long, words binary")
         cited = materialize(cited.groupBy("h").agg(F.max("words").alias("words")), "cited")
+        words_of.append(cited)
         ca = cited.select(F.col("h").alias("a"), F.col("words").alias("wa"))
         cb = cited.select(F.col("h").alias("b"), F.col("words").alias("wb"))
 
@@ -202,8 +215,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den:
 
         return check
 
+    def cross(rows: DataFrame, most: int) -> DataFrame:
+        """The pairs of mixed buckets that may link, by tiles of bitmaps of the words that the check holds."""
+        asked = words_of[-1].join(broadcast_if_small(materialize(rows.select(F.col("node").alias("h")).distinct(), "asked")), "h", "left_semi")
+        return _cross(asked.select("h", "words").mapInArrow(_bitmaps, "node long, n long, bits binary"), num, den)(rows, most)
+
     buckets = line_nodes.select(F.explode("bands").alias("key"), F.col("h").alias("node"))
-    comp = linked_components(buckets, prepare)
+    comp = linked_components(buckets, prepare, cross)
     named = line_nodes.select("h", "c", "p").join(comp.select(F.col("node").alias("h"), "component"), "h", "left")
     named = named.select("h", "c", "p", F.coalesce("component", "h").alias("cluster_id"))
     groups = named.groupBy("cluster_id").agg(F.sum("c").alias("c"), F.min("p").alias("first")).where("c > 1")
