@@ -373,16 +373,8 @@ def main_text(page: str | None, template: frozenset[str] = frozenset(), wrapper:
                 kept.append(b.text)
                 last = level or 7
         return "\n\n".join(reversed(kept))
-    found = [b for i, b in held if i not in literal and b.text not in template]
-    if not found:
-        return ""
-    # without a marked article: the container that holds most of the text
-    weight: dict[str, int] = {}
-    for b in found:
-        parent = b.path.rpartition("/")[0]
-        weight[parent] = weight.get(parent, 0) + len(b.text)
-    best = max(weight, key=lambda p: (weight[p], -len(p)))
-    return "\n\n".join(b.text for b in found if b.path.startswith(best))
+    # without a marked article: all that is neither furniture nor template
+    return "\n\n".join(b.text for i, b in held if i not in literal and b.text not in template)
 
 
 #: Distinct pages that a wrapper must have seen before its literals count.

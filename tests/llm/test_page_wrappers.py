@@ -43,3 +43,10 @@ def test_wrappers_merge():
     pages = [page(rng, i) for i in range(12)]
     halves = [pages_.read(pages_.dump(pages_.infer(x))) for x in (pages[:6], pages[6:])]
     assert pages_.template_texts(pages_.align(*halves)) == pages_.template_texts(pages_.infer(pages)) == ["Read us every day", "Tell your friends", "Terms"]
+
+
+def test_pages_without_an_article_mark():
+    items = "".join(f"<li>a long item of the list, number {i}</li>" for i in range(9))
+    text = pages_.main_text(f"<body><nav>Home</nav><div><p>Intro</p><section><p>{'word ' * 60}</p></section><p>before</p><ul>{items}</ul><p>after</p></div></body>")
+    parts = text.split("\n\n")
+    assert parts[0] == "Intro" and parts[2] == "before" and parts[-1] == "after" and len(parts) == 13
