@@ -29,10 +29,10 @@ from codelode.session import materialize, ship
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select option button".split())
-DROPPED = frozenset("head nav header footer aside form menu dialog figcaption label input".split()) | RAW
+RAW = frozenset("script style textarea title noscript iframe template svg object select option button".split())
+DROPPED = frozenset("head nav header footer aside form menu dialog label input".split()) | RAW
 BLOCKS = frozenset(
-    "address article blockquote body center dd details div dl dt fieldset figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 ) | DROPPED
 #: Elements that a start tag of the same kind closes.
 SELF_CLOSING = {"p": frozenset(["p"]), "li": frozenset(["li"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
@@ -41,6 +41,10 @@ FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|cookies?|consent|"
     r"notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|social|share|sharing|related|recommend\w*|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|"
     r"skip|hidden|login|search|copyright|legal|alert|tags?)(?:$|[\s_-])", re.I)
+#: Words that stand beside one of furniture without naming anything else.
+COMPANIONS = frozenset("area bar block box button buttons container form icon icons link links list section slot unit wrapper".split())
+#: Elements of running text: inside an article their class or id says nothing.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th pre blockquote figure figcaption caption summary".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -79,25 +83,35 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def is_furniture(name: str, raw: str) -> bool:
+    """By the element's name, role or hiding, which hold everywhere."""
     if name in DROPPED:
         return True
-    if name in ("html", "body", "article", "main"):
-        return False
-    if not raw:
+    if name in ("html", "body", "article", "main") or not raw:
         return False
     marks = attributes(raw)
     if marks.get("role", "").lower() in ROLES or "hidden" in raw.lower().split() or marks.get("aria-hidden") == "true":
         return True
-    return bool(FURNITURE.search(marks.get("class", "")) or FURNITURE.search(marks.get("id", "")) or "display:none" in marks.get("style", "").replace(" ", ""))
+    return "display:none" in marks.get("style", "").replace(" ", "")
+
+
+def named_furniture(name: str, marks: dict[str, str], article: bool) -> bool:
+    """By class or id; inside an article only if every word of it names furniture, and never for running text."""
+    if name in ("html", "body", "article", "main") or article and name not in BLOCKS or article and name in TEXTUAL:
+        return False
+    for value in (marks.get("class", ""), marks.get("id", "")):
+        if FURNITURE.search(value) and (not article or all(x.lower() in COMPANIONS or FURNITURE.fullmatch(x) for x in re.split(r"[\s_-]+", value.strip()))):
+            return True
+    return False
 
 
 class Block:
     """One block of a page: its text, the path of elements that hold it, and where it lies."""
 
-    __slots__ = ("article", "furniture", "path", "text")
+    __slots__ = ("article", "furniture", "named", "path", "text")
 
-    def __init__(self, text: str, path: str, furniture: bool, article: bool):
+    def __init__(self, text: str, path: str, furniture: bool, article: bool, named: int = 0):
         self.text, self.path, self.furniture, self.article = text, path, furniture, article
+        self.named = named  # the element of the article that its class or id names furniture, from 1; 0: none
 
 
 #: A wrapper node: ("tag", token), ("text", literal), ("slot",), ("maybe", nodes) or ("many", nodes, literals).
@@ -111,15 +125,16 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
         return [], []
     out: list[Block] = []
     stream: list[Node] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, article, named
     parts: list[str] = []
+    count = 0
 
     def flush() -> None:
         if parts:
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 path = "/".join(x[0] for x in stack if x[0] in BLOCKS)
-                out.append(Block(text, path, any(x[1] for x in stack), any(x[2] for x in stack)))
+                out.append(Block(text, path, any(x[1] for x in stack), any(x[2] for x in stack), next((x[3] for x in stack if x[3]), 0)))
                 stream.append(("text", text))
             parts.clear()
 
@@ -151,10 +166,13 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
                 parts.append("\n")
             if name not in VOID and not raw.endswith("/"):
                 drop = is_furniture(name, raw)
-                if drop:
-                    flush()
                 marks = attributes(raw) if raw else {}
-                stack.append((name, drop, name in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articleBody"))
+                inside = any(x[2] for x in stack)
+                named = not drop and bool(marks) and named_furniture(name, marks, inside)
+                if drop or named:
+                    flush()
+                count += named and inside
+                stack.append((name, drop or named and not inside, name in ("article", "main") or marks.get("role") == "main" or marks.get("itemprop") == "articleBody", count if named and inside else 0))
                 if name in BLOCKS:
                     stream.append(("tag", "<" + name + ("." + marks["class"] if marks.get("class") else "")))
         else:
@@ -353,7 +371,8 @@ def main_text(page: str | None, template: frozenset[str] = frozenset(), wrapper:
     """The page's article; blocks joined by an empty line.
 
     The wrapper's literals are template and go; its slots and groups stay. In a marked
-    article, preformatted text stays, a literal heading stays if text under it does, and a wrapper
+    article, an element that its class or id names furniture goes only if the wrapper holds a
+    literal in it (or there is no wrapper), preformatted text stays, a literal heading stays if text under it does, and a wrapper
     that would take more than half of the article was learned from copies and takes nothing of it.
     """
     all_blocks, stream = parse(page)
@@ -361,6 +380,9 @@ def main_text(page: str | None, template: frozenset[str] = frozenset(), wrapper:
     held = [(i, b) for i, b in enumerate(all_blocks) if not b.furniture]
     article = [(i, b) for i, b in held if b.article]
     if article:
+        # named furniture goes with a literal in it, or where no wrapper can tell
+        named = {b.named for i, b in article if b.named and (not wrapper or i in literal)}
+        article = [(i, b) for i, b in article if b.named not in named]
         gone = {i for i, b in article if i in literal and b.path.rpartition("/")[2] != "pre"}
         if 2 * sum(len(b.text) for i, b in article if i in gone) > sum(len(b.text) for _, b in article):
             gone = set()

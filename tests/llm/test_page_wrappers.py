@@ -50,3 +50,14 @@ def test_pages_without_an_article_mark():
     text = pages_.main_text(f"<body><nav>Home</nav><div><p>Intro</p><section><p>{'word ' * 60}</p></section><p>before</p><ul>{items}</ul><p>after</p></div></body>")
     parts = text.split("\n\n")
     assert parts[0] == "Intro" and parts[2] == "before" and parts[-1] == "after" and len(parts) == 13
+
+
+def test_names_inside_an_article():
+    rng = random.Random(9)
+    head = '<h2 id="related-work">Prior</h2><section id="search-methods"><p>How</p></section><section id="legal-basis"><p>Law</p></section><p class="side note">Aside</p>'
+    figure = "<figure><figcaption>Caption</figcaption></figure><p>Let <math><mi>x</mi></math> be</p>"
+    one = pages_.main_text(f"<article>{head}{figure}<div class='share-buttons'>Share</div></article>")
+    assert one.split("\n\n") == ["Prior", "How", "Law", "Aside", "Caption", "Let x be"]
+    pages = [f"<article><p>{prose(rng, 30)}</p><div class='share'>Share this</div><div class='related'>{prose(rng, 5)}</div></article>" for _ in range(4)]
+    text = pages_.main_text(pages[0], wrapper=pages_.infer(pages))
+    assert len(text.split("\n\n")) == 2 and "Share this" not in text  # named only is no evidence
