@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a private one in local mode.
 
-    Only a session that names no folder (tests, local runs) gets a temporary one.
+    Only a session whose tasks run in the driver's own process may leave the setting out
+    (tests, local runs); any other would write to folders that its executors don't share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _local_root:
         root = tempfile.mkdtemp(prefix="codelode-")
         _local_root.append(f"file://{root}")
@@ -45,12 +50,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     reread relation has exact size statistics for the planner.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codelode-{tag}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = scratch_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted by ``release`` or when the driver ends."""
+    path = f"{shared_dir(spark)}/codelode-{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)  # only a path that exists can be marked
+    files.deleteOnExit(target)
+    files.delete(target, True)
+    return path
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The table that ``build`` returns, written; all other scratch folders made meanwhile are deleted."""
+    before = len(_made)
+    out = materialize(build(), tag)
+    release(spark, _made[before:-1])
+    return out
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows (narrow ones: 8 to 32 bytes each).
 
