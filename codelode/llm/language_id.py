@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.session import ship
+from codelode.session import broadcast_if_small, materialize, ship
 
 DIM = 1024
 #: Trigram vectors kept per worker: 12,000 * 1024 * 4 bytes = 49 MB.
@@ -124,12 +124,10 @@ def learn(docs: DataFrame, per_lang: int = 3000) -> tuple[list[str], np.ndarray,
     """
     ship(docs.sparkSession)
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
+    shares = materialize(rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")), "shares")
     draw = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    parts = rows.where(draw <= share).select("lang", "text").mapInArrow(_bundled, "lang string, v array<double>")
+    drawn = rows.join(broadcast_if_small(shares), "lang").where(draw <= F.least("share", F.lit(1.0)))
+    parts = drawn.select("lang", "text").mapInArrow(_bundled, "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     by_lang = {r["lang"]: r["v"] for r in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()}
     langs = sorted(by_lang)
