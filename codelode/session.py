@@ -14,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of one Arrow batch sent to Python.
+ARROW_BYTES = 4 << 20
 #: Scratch folders made by this driver process, oldest first.
 _made: list[str] = []
 _local_root: list[str] = []
@@ -101,8 +103,13 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors once per application."""
+    """Send this package's source to the executors once per application; keep their Arrow batches small.
+
+    Texts differ in length by orders of magnitude, so batches are bounded in bytes too.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(context, "_codelode_shipped", False):
         return
     package = Path(__file__).resolve().parent
