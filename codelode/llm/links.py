@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.components import connected_components
-from codelode.session import broadcast_if_small, materialize
+from codelode.session import broadcast_if_small, materialize, settled
 
+#: Keys of about so many members and more are crowded; counted on one node of SAMPLED.
+CROWDED, SAMPLED = 512, 16
 Pairs = Callable[[DataFrame], DataFrame]
 
 
@@ -20,12 +22,24 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame
     First each node is checked with the smallest node of its buckets, the one it
     shares most keys with; then the other smallest nodes that would still join two
     components. ``cross(rows, most)`` then gets (key, node, m, component) of buckets
-    that mix components and names the pairs (a, b, whole) that may link: all of a
+    that mix components and names the pairs (a, b, key, whole) that may link: all of a
     bucket, or, over ``most`` a member, each node's likeliest. Those are checked and
-    merged, and buckets that weren't whole are asked again, at last without a limit.
+    merged, and the buckets that weren't whole are asked again, at last without a limit.
     """
-    of_key = Window.partitionBy("key").orderBy("node")
-    stars = buckets.withColumn("a", F.first("node").over(of_key)).where("a <> node").select("key", "a", F.col("node").alias("b"))
+    return broadcast_if_small(settled(buckets.sparkSession, lambda: _linked(buckets, verify, cross), "linked"))
+
+
+def _linked(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], Pairs], cross: Callable[[DataFrame, int], DataFrame] | None) -> DataFrame:
+    # Few members: one shuffle brings them together. Crowded keys are split: their minima are combined before they
+    # shuffle and sent to the members. Which way a key goes doesn't change its rows.
+    some = buckets.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
+    crowded = broadcast_if_small(materialize(some.where(F.col("c") >= CROWDED // SAMPLED).select(F.col("key").alias("hot")), "crowded"))
+    first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    is_hot = F.col("key") == F.col("hot")
+    split = buckets.join(crowded, is_hot, "left_semi")
+    heads = materialize(split.groupBy("key").agg(F.min("node").alias("a")), "heads")
+    stars = buckets.join(crowded, is_hot, "left_anti").withColumn("a", first).unionByName(split.join(broadcast_if_small(heads), "key"))
+    stars = stars.where("a <> node").select("key", "a", F.col("node").alias("b"))
     stars = materialize(stars.distinct(), "stars")
     pairs = materialize(stars.groupBy("a", "b").agg(F.count("*").alias("c")), "pairs")
     check = verify(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -55,16 +69,16 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), *same)
         mixed = materialize(mixed.where("lo <> hi and m > 2").groupBy("m", "s0", "s1").agg(F.min("key").alias("key")).select("key", "m"), "keys")
         rows = materialize(placed.join(broadcast_if_small(mixed), "key"), "mixed")
-        named = materialize(cross(rows, most).groupBy("a", "b").agg(F.min("whole").alias("whole")), "named")
-        whole = named.where("not whole").isEmpty()
-        ask = materialize(named.join(tried, ["a", "b"], "left_anti").select("a", "b"), "ask")
+        named = materialize(cross(rows, most), "named")
+        ask = materialize(named.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ask")
         if not ask.isEmpty():
             tried = tried.union(ask)
             links = materialize(links.union(check(ask)), "links")
             comp = _components(links)
-        if whole:  # every pair of different components that can link has been checked
+        open_keys = materialize(named.where("not whole").select("key").distinct(), "open")
+        if open_keys.isEmpty():  # every pair of different components that can link has been checked
             break
-        members = rows.select("key", "node")
+        members = rows.join(broadcast_if_small(open_keys), "key", "left_semi").select("key", "node")
     return comp
 
 

@@ -40,7 +40,11 @@ _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x2545F4914F6CDD1D)
 BROADCAST_IDS = 2_000_000
 #: Members of one side of a tile.
 TILE = 2048
+#: Of a member's keys, so many of the most crowded travel with it.
+TOPS = 8
 MOST_BITS = 8192
+#: Words of bitmaps compared at once.
+CELLS = 1 << 21
 
 
 def bands(num: int, den: int, growth: float = 1.5) -> "Bands":
@@ -176,22 +180,23 @@ def _verified(k: int, num: int, den: int):
 
 
 def _tile_pairs(key: int, tile: pa.Table, num: int, den: int, most: int):
-    """(a, b, whole): the pairs of one tile that may link and have no smaller key in common; over ``most`` per member, only each left member's nearest, and whole is false."""
+    """(a, b, key, whole): the pairs of one tile that may link and have no more crowded top key in common; over ``most`` per member, only each left member's nearest, and whole is false."""
     side, node, comp, size = (tile.column(c).to_numpy() for c in ("side", "node", "component", "n"))
     bits = tile.column("bits").to_pylist()
-    keys = [set(x) for x in tile.column("own").to_pylist()]
+    tops = tile.column("tops").to_pylist()
     words = min(map(len, bits)) // 8
     table = np.array([folded(x, words) for x in bits])
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
     found, nearest, whole, count = [], [], True, 0
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
+    step = max(1, CELLS // (len(right) * words))
+    for at in range(0, len(left), step):
+        rows = left[at : at + step]
         far = np.bitwise_count(table[rows][:, None, :] ^ table[right][None, :, :]).sum(axis=2, dtype=np.int64)
         total = size[rows][:, None] + size[right][None, :]
         ok = (comp[rows][:, None] != comp[right][None, :]) & ((num + den) * (total - far) >= 2 * num * total)
         ok &= den * np.minimum(size[rows][:, None], size[right][None, :]) >= num * np.maximum(size[rows][:, None], size[right][None, :])
         x, y = np.nonzero(ok)
-        own = [min(keys[a] & keys[b]) == key for a, b in zip(rows[x].tolist(), right[y].tolist(), strict=True)]
+        own = [next((t for t in tops[a] if t in tops[b]), key) == key for a, b in zip(rows[x].tolist(), right[y].tolist(), strict=True)]
         x, y = x[own], y[own]
         if not len(x):
             continue
@@ -216,8 +221,9 @@ def _tiles(num: int, den: int, most: int):
             held.clear()
             if len(tile.column("component").unique()) == 1:
                 return
-            for a, b, whole in _tile_pairs(tile.column("key")[0].as_py(), tile, num, den, most):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([whole] * len(a))], names=["a", "b", "whole"])
+            key = tile.column("key")[0].as_py()
+            for a, b, whole in _tile_pairs(key, tile, num, den, most):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([key] * len(a)), pa.array([whole] * len(a))], names=["a", "b", "key", "whole"])
 
         last = None
         for batch in batches:
@@ -238,32 +244,69 @@ def _tiles(num: int, den: int, most: int):
 
 def _cross(meta: DataFrame, num: int, den: int):
     def run(rows: DataFrame, most: int) -> DataFrame:
-        """Tiles of the keys: blocks of members by a hash, every pair of blocks once. Keys of up to TILE members have one tile."""
+        """Tiles of the keys: blocks of members by a hash, every pair of blocks once. Keys of up to TILE members have one tile.
+
+        Every member carries its TOPS most crowded keys. Two members that share one of them are compared at
+        the first they share and nowhere else, so a key all of whose members share a more crowded one needs no tile.
+        """
+        crowd = F.slice(F.sort_array(F.collect_list(F.struct("m", "key")), asc=False), 1, TOPS)  # as many as a document's size allows
+        placed = materialize(rows.join(rows.groupBy("node").agg(crowd.alias("tops")), "node"), "crowds")
+        more = placed.select("key", "m", F.explode("tops").alias("t")).where(F.col("t") > F.struct("m", "key"))
+        covered = more.groupBy("key", "m", "t").agg(F.count("*").alias("c")).where("c = m").select("key").distinct()
+        placed = placed.join(broadcast_if_small(materialize(covered, "covered")), "key", "left_anti").withColumn("tops", F.col("tops.key"))
         blocks = F.ceil(F.col("m") / TILE).cast("int")
-        own = rows.groupBy("node").agg(F.collect_list("key").alias("own"))  # as many as a document's size allows
-        rows = rows.join(meta.join(own, "node"), "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = placed.join(meta, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         # side 0 is the left block, 2 the right one, 1 both (a block against itself)
         side = F.when(F.col("block") == F.col("other"), 1).when(F.col("block") < F.col("other"), 0).otherwise(2)
-        tiled = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "component", "n", "bits", "own")
+        tiled = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "component", "n", "bits", "tops")
         tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return tiled.mapInArrow(_tiles(num, den, most), "a long, b long, whole boolean")
+        return tiled.mapInArrow(_tiles(num, den, most), "a long, b long, key long, whole boolean")
 
     return run
 
 
-def _verifier(docs: DataFrame, k: int, num: int, den: int):
+def _near(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose bit counts leave room for a link; rows of one pair of bitmap lengths are compared at once."""
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            bits = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b")]
+            words = np.array([min(len(x), len(y)) // 8 for x, y in zip(*bits, strict=True)], np.int64)
+            far = np.zeros(len(words), np.int64)
+            for w in np.unique(words).tolist():
+                at = np.flatnonzero(words == w)
+                left, right = (np.array([folded(side[i], w) for i in at.tolist()]) for side in bits)
+                far[at] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            total = na + nb
+            ok = pa.array(((num + den) * (total - far) >= 2 * num * total) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb)))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
+def _only(rows: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
+    """The rows of one end of the pairs, where the pairs are few enough to be broadcast; else all."""
+    return rows.join(F.broadcast(pairs.select(end).distinct()), end, "left_semi") if pairs.count() <= BROADCAST_IDS else rows
+
+
+def _verifier(docs: DataFrame, meta: DataFrame, k: int, num: int, den: int):
     def prepare(nodes: DataFrame):
-        """Pack the texts of the nodes once; the check joins pairs with them."""
-        need = materialize(nodes.select(F.col("node").alias("doc_id")), "need")
-        few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-        texts = docs.join(few, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary")
-        texts = materialize(texts.groupBy("doc_id").agg(F.max("packed").alias("packed")), "texts")
-        ta = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
-        tb = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
+        """The check: sizes and bitmaps first; the texts of the pairs that they leave are packed, joined and compared."""
+        ends = {end: meta.select(F.col("node").alias(end), F.col("n").alias("n" + end), F.col("bits").alias("bits_" + end)) for end in "ab"}
 
         def check(pairs: DataFrame) -> DataFrame:
-            full = tb.join(broadcast_if_small(pairs), "b").join(ta, "a").select("a", "b", "pa", "pb")
+            sided = _only(ends["b"], pairs, "b").join(broadcast_if_small(pairs), "b").join(_only(ends["a"], pairs, "a"), "a")
+            near = materialize(sided.mapInArrow(_near(num, den), "a long, b long").distinct(), "near")
+            if near.isEmpty():
+                return near
+            need = materialize(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "need")
+            few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+            texts = docs.join(few, "doc_id", "left_semi").mapInArrow(_packed, "doc_id long, packed binary")
+            texts = materialize(texts.groupBy("doc_id", F.xxhash64("packed")).agg(F.first("packed").alias("packed")).select("doc_id", "packed"), "texts")
+            ta = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa"))
+            tb = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb"))
+            full = _only(tb, near, "b").join(broadcast_if_small(near), "b").join(_only(ta, near, "a"), "a").select("a", "b", "pa", "pb")
             return full.mapInArrow(_verified(k, num, den), "a long, b long")
 
         return check
@@ -290,14 +333,19 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
     # Equal sets are one class; its smallest id stands for it.
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"))
-    member = materialize(full.select("doc_id", "n_shingles", "d0", "d1").join(reps, ["n_shingles", "d0", "d1"]).select("doc_id", "rep"), "member")
-    only = member.where("doc_id = rep").select("doc_id").distinct()  # one row per class
-
-    posted = full.select("doc_id", "keys").join(only, "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
-    meta = full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits").join(only.toDF("node"), "node", "left_semi")
-    meta = meta.groupBy("node").agg(F.max("n").alias("n"), F.max_by("bits", "n").alias("bits"))
-    comp = linked_components(posted, _verifier(docs, k, num, den), _cross(meta, num, den))
+    reps = full.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("z")).where("rep <> z").drop("z")
+    reps = broadcast_if_small(materialize(reps, "classes"))  # written, so that a crowded class's side of the join can be split
+    member = full.select("doc_id", "n_shingles", "d0", "d1").join(reps, ["n_shingles", "d0", "d1"], "left")
+    member = materialize(member.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "member")
+    # one document per class goes on: those that stand for none of their classes don't
+    copies = materialize(member.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("rep")).alias("stands")).where("not stands").select("doc_id"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    alone = full.join(copies, "doc_id", "left_anti")
+
+    posted = alone.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    # once per node; different texts of a repeated id all stand for it
+    meta = alone.groupBy(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "d0", "d1").agg(F.first("bits").alias("bits")).select("node", "n", "bits")
+    comp = linked_components(posted, _verifier(docs, meta, k, num, den), _cross(meta, num, den))
 
     groups = member.distinct().join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     groups = groups.select("doc_id", F.coalesce("component", "rep").alias("component"))

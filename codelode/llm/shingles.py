@@ -19,7 +19,7 @@ _S30, _S27, _S31, _S32 = (np.uint64(x) for x in (30, 27, 31, 32))
 class WordHashes(dict):
     """bytes -> 64-bit hash. The cache is emptied at ``limit`` entries, so memory is bounded."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
