@@ -2,13 +2,15 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's documents. All but the last return the
-columns of ``documents``.
+columns of ``documents``, whatever other columns there are beside them.
+
+Rows of every stage: a null or letterless text goes in the first stage; nulls in other
+columns, repeated rows and very long texts pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from codelode.llm.language_id import identify_language
 from codelode.llm.ngram_join import ngram_jaccard_join
 from codelode.llm.packing import best_fit_packing
 from codelode.llm.secret_scan import redact_secrets
-from codelode.session import load, materialize, release, scratch_paths, shared_dir
+from codelode.session import load, materialize, release, scratch_folder, scratch_paths
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Scratch folders of the stage called last.
@@ -49,7 +51,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of 5-word Jaccard 0.8; documents without an id stay."""
+    """Keeps the smallest doc_id of each group of 5-word Jaccard 0.8; rows that repeat it and rows without an id stay."""
     joined = ngram_jaccard_join(docs, k=5, num=80, den=100)
     gone = materialize(joined.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     small = F.broadcast(gone) if gone.count() <= 2_000_000 else gone
@@ -58,19 +60,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of ``benchmark``."""
+    """Drops documents that hold a passage of ``benchmark``; rows without an id stay, an empty benchmark drops none."""
     return decontaminate(docs, load(spark, sf_dir, "benchmark"))
 
 
 @stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays."""
+    """Masks secrets in the texts; every document stays, and n_chars follows its text."""
     return redact_secrets(docs)
 
 
 @stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per token piece with its place in a training sequence."""
+    """One row per token piece with its place in a training sequence; no document gives no row."""
     return best_fit_packing(docs)
 
 
@@ -87,8 +89,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents`` of ``sf_dir``."""
-    root = f"{shared_dir(spark)}/codelode-pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents`` of ``sf_dir``. The stages' tables are deleted when the driver ends."""
+    root = scratch_folder(spark, "pipeline")
     docs = load(spark, sf_dir, "documents")
     for number, (name, apply) in enumerate(STAGES):
         path = f"{root}/{number}-{name}"
