@@ -32,7 +32,8 @@ BROADCAST_ROWS = 1_000_000
 
 def tokens(text: Column) -> Column:
     """Hashes of the lower-cased words (runs of letters and digits), in order; scripts without spaces are cut into characters."""
-    unspaced = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+    # Thai and Lao, Burmese, Khmer, kana, Han
+    unspaced = r"([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF])"
     text = F.when(text.rlike(unspaced), F.regexp_replace(text, unspaced, " $1 ")).otherwise(text)
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " ")), " ")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.workers import kept
 from codelode.session import broadcast_if_small, materialize, ship
 
 DIM = 1024
@@ -85,14 +86,9 @@ class Profiles:
         return out
 
 
-_profiles: list[Profiles] = []
-
-
 def profiles() -> Profiles:
     """This worker's profiles."""
-    if not _profiles:
-        _profiles.append(Profiles())
-    return _profiles[0]
+    return kept("profiles", Profiles)
 
 
 def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

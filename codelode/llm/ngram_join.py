@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.links import linked_components
 from codelode.llm.shingles import WordHashes, ascii_words, mix, shingle_hashes
+from codelode.llm.workers import kept
 from codelode.session import broadcast_if_small, materialize, ship
 
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x2545F4914F6CDD1D)
@@ -119,7 +120,7 @@ def folded(bits: bytes, words: int) -> np.ndarray:
 
 def _signatures(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cut = WordHashes(), Bands(num, den, 1.5)
+        words, cut = kept("words", WordHashes), Bands(num, den, 1.5)
         for batch in batches:
             sizes, d0, d1, keys, bits = [], [], [], [], []
             for text in batch.column(1):
@@ -156,7 +157,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        words, unpack = kept("words", WordHashes), zstandard.ZstdDecompressor()
 
         def of(packed: bytes) -> np.ndarray:
             return shingle_hashes(words.of(unpack.decompress(packed).lower().split()), k)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from codelode.llm.links import linked_components
 from codelode.llm.ngram_join import _cross, bitmap
 from codelode.llm.shingles import _MUL, WordHashes, _S32, mix, shingle_hashes
+from codelode.llm.workers import kept
 from codelode.session import broadcast_if_small, materialize, ship
 
 BANDS, ROWS, SHINGLE, REACH, LONGEST = 10, 4, 5, 4, 16
@@ -72,7 +73,7 @@ def _content(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 def _units(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = kept("words", WordHashes)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -134,7 +135,7 @@ def _units(min_words: int):
 
 def _cited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, words) of the places asked for in each document, where its words have that hash."""
-    hashed = WordHashes()
+    hashed = kept("words", WordHashes)
     for batch in batches:
         out_h, out_words = [], []
         for text, places in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -150,7 +151,7 @@ def _cited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = kept("words", WordHashes)
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -165,7 +166,7 @@ def _similar(num: int, den: int):
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, n, bits): the number of distinct shingles of a paragraph and their hashed bits."""
-    hashed = WordHashes()
+    hashed = kept("words", WordHashes)
     for batch in batches:
         sets = [shingle_hashes(hashed.of(x.as_py().split()), SHINGLE) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["node", "n", "bits"])

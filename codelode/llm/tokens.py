@@ -22,6 +22,8 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
+from codelode.llm.workers import kept
+
 #: All white space but the space itself.
 _OTHER_SPACE = [c for c in map(chr, range(0x3100)) if c.isspace() and c != " "]
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -56,7 +58,7 @@ def ranked(tokenizer_json: bytes) -> tiktoken.Encoding | None:
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids. ``limit`` bounds the cached pieces."""
 
-    def __init__(self, tokenizer_json: bytes, limit: int = 400_000):
+    def __init__(self, tokenizer_json: bytes, limit: int = 200_000):
         self.tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self.ranked = ranked(tokenizer_json)
         self.added = [x["content"] for x in json.loads(tokenizer_json).get("added_tokens") or []]
@@ -115,16 +117,9 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[int, PieceEncoder] = {}
-
-
 def encoder(source: Broadcast) -> PieceEncoder:
     """The worker's encoder for a broadcast vocabulary; kept between tasks of one Python worker."""
-    key = hash(source.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(source.value)
-    return _encoders[key]
+    return kept(("encoder", hash(source.value)), lambda: PieceEncoder(source.value))
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:

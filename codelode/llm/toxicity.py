@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.language_id import held_out
 from codelode.llm.shingles import WordHashes, ascii_words, shingle_hashes
+from codelode.llm.workers import kept
 from codelode.session import ship
 
 # Characters around words, marks of quotation and words that report speech.
@@ -180,7 +181,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest shingle hash, which near copies share."""
-    words = WordHashes()
+    words = kept("words", WordHashes)
     for batch in batches:
         least = [int(s.view(np.int64)[0]) if len(s := shingle_hashes(words.of(ascii_words(x.as_py())), 5)) else 0 for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64())], names=["toxic", "text", "least"])
