@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from codelode.llm.substring_dedup import repeated_passages
 from codelode.llm.token_counts import TokenRollup
 from codelode.llm.toxicity import score_toxicity
 from codelode.llm.vector_search import nearest_neighbours
-from codelode.session import load, shared_dir
+from codelode.session import load, scratch_folder
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +33,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted, a tenth of them revised, and the revision replayed: totals by source, language and version."""
+    """Totals by source, language and version after changes to all documents.
+
+    Drafts of all documents come first (their last 50 words, in a source of their own), all are revised
+    to their texts, one whole source is deleted and inserted again, and a batch is replayed. What remains
+    is each document's own count, if every signed delta is right.
+    """
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rollup = TokenRollup(spark, f"{shared_dir(spark)}/codelode-rollup-{uuid.uuid4().hex}")
-    rollup.commit(0, docs.withColumn("op", F.lit("insert")))
-    again = docs.where("doc_id % 10 = 0").withColumn("op", F.lit("revise"))
-    rollup.commit(1, again)
-    rollup.commit(1, again)
+    rollup = TokenRollup(spark, scratch_folder(spark, "rollup"))
+    drafts = docs.withColumn("text", F.substring_index("text", " ", -50)).withColumn("source", F.lit("draft"))
+    rollup.commit(0, drafts.withColumn("op", F.lit("insert")))
+    rollup.commit(1, docs.withColumn("op", F.lit("revise")))
+    one = docs.where(F.col("source") == docs.agg(F.min("source")).first()[0])
+    rollup.commit(2, one.withColumn("op", F.lit("delete")))
+    rollup.commit(3, one.withColumn("op", F.lit("insert")))
+    rollup.commit(3, one.withColumn("op", F.lit("insert")))
     return rollup.totals()
 
 

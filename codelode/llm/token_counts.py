@@ -2,8 +2,9 @@
 
 A rollup is a folder. Each batch appends a log of signed rows per document (+1 with
 the new count, -1 with the count to take back) and the sums of those by source,
-language and tokenizer version; totals are the sums of all committed batches, so
-no batch rereads what earlier ones counted. The marker that Spark's committer puts
+language and tokenizer version; totals are the sums of all committed batches. No text
+is counted again: what a batch takes back is found by joining its ids with the log's
+narrow rows, which it reads whole. The marker that Spark's committer puts
 into a batch's sums is its commit: a batch that has it is never applied again, one
 that lacks it is written anew from the same state, so retries and replays are
 idempotent.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm import tokens
-from codelode.session import ship
+from codelode.session import materialize, release, scratch_paths, ship
 
 KEYS = ["source", "lang", "tokenizer_version"]
 LOG = "doc_id long, source string, lang string, tokenizer_version string, docs long, n_tokens long"
@@ -68,15 +69,16 @@ class TokenRollup:
         of an unknown one insert it, deletes of an unknown one do nothing. Of rows that
         repeat an id in a batch, a delete wins, then the greatest (text, source, lang).
         Rows without an id are inserted, one by one, and can't be taken back. Null and
-        empty texts have no tokens; null sources and languages are groups of their own.
+        empty texts have no tokens, very long ones are counted whole; null sources and languages are groups of their own.
         """
         if batch in self.committed():
             return False
         rows = changes.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
             F.coalesce(F.lower("op"), F.lit("insert")).alias("op"), F.col("text").cast("string").alias("text"),
-        )
-        counted = rows.mapInArrow(_counted(self.vocabulary), "doc_id long, source string, lang string, op string, n_tokens long")
+        ).withColumn("text", F.when(F.col("op") != "delete", F.col("text")))
+        before = set(scratch_paths())
+        counted = materialize(rows.mapInArrow(_counted(self.vocabulary), "doc_id long, source string, lang string, op string, n_tokens long"), "counted")
         best = F.max(F.struct((F.col("op") == "delete").alias("gone"), "n_tokens", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l"), "source", "lang"))
         new = counted.where("doc_id is not null").groupBy("doc_id").agg(best.alias("x"))
         new = new.select("doc_id", "x.source", "x.lang", "x.gone", "x.n_tokens")
@@ -86,11 +88,12 @@ class TokenRollup:
         )
         log = plus.union(loose)
         if self.committed():
-            ids = changes.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+            ids = counted.select("doc_id").where("doc_id is not null").distinct()
             old = self._read("log", LOG).where(F.col("tokenizer_version") == self.version).join(ids, "doc_id", "left_semi")
             live = old.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("n_tokens").alias("n_tokens")).where("docs > 0")
             log = log.union(live.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("n_tokens")).alias("n_tokens")))
         log.write.mode("overwrite").parquet(f"{self.root}/log/{batch}")
+        release(self.spark, [x for x in scratch_paths() if x not in before])
         written = self.spark.read.schema(LOG).parquet(f"{self.root}/log/{batch}")
         sums = written.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/sums/{batch}")

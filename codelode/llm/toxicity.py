@@ -4,9 +4,9 @@ The lexicon is learned: words and word stems that labelled toxic documents hold
 more often than the others. Its trie is intersected with a Levenshtein automaton;
 the product is determinized lazily, so a word costs one dictionary probe per
 letter until it dies, and misspelled terms are found at one edit (two for long
-terms). Each hit looks at the words around it: quotation marks and reporting words
-separate quoting from abuse. A logistic regression over counts of exact, stem and
-misspelled hits, quoted or not, gives the score.
+terms). Each hit gets a score of the words around it: paired quotation marks and the distance
+to reporting words separate quoting from abuse. A logistic regression over exact, stem and
+misspelled hits, weighed by that score, gives the document's score.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm.language_id import held_out
-from codelode.llm.shingles import WordHashes, ascii_words, shingle_hashes
+from codelode.llm.shingles import WordHashes, ascii_words, mix, shingle_hashes
 from codelode.llm.workers import kept
 from codelode.session import ship
 
@@ -134,23 +134,47 @@ class Matches(dict):
         return kind
 
 
-def quoted(tokens: list[str], at: int) -> bool:
-    """Whether the words around a hit quote or report it."""
-    left, right = tokens[max(0, at - WINDOW) : at + 1], tokens[at : at + WINDOW + 1]
-    opens = any(x[0] in OPENING for x in left)
-    closes = any(x.rstrip(".,;:!?")[-1:] in CLOSING and x.rstrip(".,;:!?") for x in right)
-    return (opens and closes) or any(x.strip(EDGES) in REPORTING for x in left[:-1])
+def quotation(tokens: list[str]) -> list[bool]:
+    """Which tokens stand between a pair of quotation marks: an opening mark and the next closing one after it.
+
+    A mark at the start of a token opens, one at its end closes; a mark that is never closed quotes nothing.
+    """
+    out = [False] * len(tokens)
+    start = -1
+    for at, token in enumerate(tokens):
+        if start < 0 and token[0] in OPENING:
+            start = at
+        bare = token.rstrip(".,;:!?")
+        if start >= 0 and bare[-1:] and bare[-1] in CLOSING and (at > start or len(bare) > 1):
+            out[start : at + 1] = [True] * (at + 1 - start)
+            start = -1
+    return out
+
+
+def context(tokens: list[str], at: int, inside: bool) -> float:
+    """How far the words around a hit quote or report it: 1 between quotation marks, less the farther a reporting word stands before it, 0 for none."""
+    if inside:
+        return 1.0
+    for back in range(1, min(WINDOW, at) + 1):
+        if tokens[at - back].strip(EDGES) in REPORTING:
+            return 1.0 - (back - 1) / WINDOW
+    return 0.0
 
 
 def document_features(text: str | None, matches: Matches) -> list[float]:
+    """Weights of exact, stem and misspelled hits, each split by its context into abuse and quotation; their share of the words; whether there are any."""
     tokens = (text or "").lower().split()
     kinds = list(map(matches.__getitem__, tokens))
-    counts = [0] * 6
+    counts = [0.0] * 6
+    hits = 0
     if any(kinds):
+        inside = quotation(tokens)
         for at, kind in enumerate(kinds):
             if kind:
-                counts[(kind - 1) * 2 + quoted(tokens, at)] += 1
-    hits = sum(counts)
+                share = context(tokens, at, inside[at])
+                counts[(kind - 1) * 2] += 1 - share
+                counts[(kind - 1) * 2 + 1] += share
+                hits += 1
     return [*(float(np.log1p(x)) for x in counts), hits / max(1, len(tokens)), float(hits > 0)]
 
 
@@ -158,8 +182,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _terms(text: str) -> set[str]:
-    """Words of four letters or more, and their stems of four to eight letters marked by a star."""
-    words = {w for w in _WORD.findall(text.lower()) if len(w) >= 4}
+    """Words of three letters or more, and their stems of four to eight letters marked by a star."""
+    words = {w for w in _WORD.findall(text.lower()) if len(w) >= 3}
     return words | {w[:n] + "*" for w in words for n in range(4, min(8, len(w) - 1) + 1)}
 
 
@@ -180,10 +204,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest shingle hash, which near copies share."""
+    """Adds a hash of the eight smallest shingle hashes, which only near copies share."""
     words = kept("words", WordHashes)
     for batch in batches:
-        least = [int(s.view(np.int64)[0]) if len(s := shingle_hashes(words.of(ascii_words(x.as_py())), 5)) else 0 for x in batch.column(1)]
+        least = [int(mix(s[:8]).sum(dtype=np.uint64).view(np.int64)) if len(s := shingle_hashes(words.of(ascii_words(x.as_py())), 5)) else 0 for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64())], names=["toxic", "text", "least"])
 
 
@@ -260,7 +284,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, thr
     3 is not 1, from a sample of about ``sample`` of them chosen by a hash of the id
     (all, if there are fewer), near copies counted once. Rows without a label, a text
     or an id teach nothing. Null and empty texts get the score of a text without
-    hits; rows that repeat an id, or have none, are scored like any other. With
+    hits, very long ones are read whole; of near copies and of an id's differing labels the least text and the greater
+    label teach; rows that repeat an id, or have none, are scored like any other. With
     nothing to learn from, every score is 0. An empty table gives an empty result.
     Other columns are not read, so their names may clash.
     """
@@ -273,7 +298,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, thr
     known = known.where(draw <= min(1.0, sample / max(n, 1))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # about `sample` rows of 12 bytes, a stated bound
     taught = rows.where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("toxic", "text")
-    taught = taught.mapInArrow(_sketched, "toxic int, text string, least long").dropDuplicates(["least", "toxic"]).select("toxic", "text")
+    taught = taught.mapInArrow(_sketched, "toxic int, text string, least long")
+    # of near copies the least text teaches, whichever task comes first
+    taught = taught.groupBy("least", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     taught = taught.persist()
     lexicon = learn_lexicon(taught)
     fitted = taught.mapInArrow(_featured(lexicon), "toxic int, x array<double>").collect()

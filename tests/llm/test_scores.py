@@ -78,7 +78,14 @@ def test_automaton_against_edit_distance():
 
 def test_quotation():
     words = 'she said "you idiot" and left without a word to anyone in there'.split()
-    assert toxicity.quoted(words, 3) and not toxicity.quoted("you are an idiot and a fool".split(), 3)
+    at = [i for i, w in enumerate(words) if toxicity.quotation(words)[i]]
+    assert 3 in at and not any(toxicity.quotation("you are an idiot and a fool".split()))
+    # between two quotations is not quoted, and an open mark alone quotes nothing
+    between = '"hello there" you idiot get lost "bye now"'.split()
+    assert [i for i, q in enumerate(toxicity.quotation(between)) if q] == [0, 1, 6, 7]
+    assert toxicity.context(between, 3, False) == 0 and not any(toxicity.quotation('"you idiot get lost'.split()))
+    near, far = "he said you idiot".split(), "he said that it was you idiot".split()
+    assert 1 > toxicity.context(near, 3, False) > toxicity.context(far, 6, False) > 0
 
 
 def test_toxicity(spark, make_docs):

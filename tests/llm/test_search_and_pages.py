@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm import html_extraction as pages_
 from codelode.llm import substring_dedup, token_counts, vector_search
-from codelode.session import shared_dir
+from codelode.session import scratch_folder
 
 from .conftest import prose
 
@@ -117,7 +117,7 @@ def test_repeats_awkward(awkward, no_docs):
 
 def test_rollup(spark, make_docs):
     pytest.importorskip("public_tokenizers")
-    root = f"{shared_dir(spark)}/rollup-test"
+    root = scratch_folder(spark, "rollup-test")
     rollup = token_counts.TokenRollup(spark, root)
     docs = make_docs(["one two", "three", None, "", "four five six"], ["en", "en", None, "fr", "fr"]).withColumn("n_tokens", F.lit("clash"))
     totals = lambda: {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
@@ -135,3 +135,19 @@ def test_rollup(spark, make_docs):
     again = docs.where("doc_id = 4").withColumn("op", F.lit("insert"))
     rollup.commit(3, again.union(again).union(again.withColumn("doc_id", F.lit(None).cast("long"))))
     assert totals()[("src1", "fr")] == (2, 6)
+
+
+def test_rollup_query_equals_recount(spark, sf_dir):
+    pytest.importorskip("public_tokenizers")
+    from collections import Counter
+
+    from codelode.llm import queries, tokens
+
+    with open(tokens.default_path(), "rb") as f:
+        encode = tokens.PieceEncoder(f.read()).encode
+    n_docs, n_tokens = Counter(), Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "source", "lang").collect():
+        n_docs[r.source, r.lang] += 1
+        n_tokens[r.source, r.lang] += len(encode([r.text or ""])[0]) // 4
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.op4_token_counts(spark, sf_dir).collect()}
+    assert got == {k: (n_docs[k], n_tokens[k]) for k in n_docs}
