@@ -56,10 +56,10 @@ def test_complexity_and_totals(spark):
 
 @pytest.mark.parametrize(
     ("line", "kept"),
-    [('"C:\\r\\U.pas",42,1,W501,alpha;beta', 0), ('"C:\\r\\U.pas",42,1,W502,alpha W501', 1), ('"C:\\r\\U.pas",42,1,C103,line', 1), ('"C:\\r\\U.pas",42,1,C103,1;2;3;4;5', 1), ('"C:\\x\\U.pas";42;1;W501;"a ""q"", b"', 0)],
+    [("D:\\shop\\Tax.pas,7,3,O201,unused unit", 1), ("D:\\shop\\Tax.pas,7,3,w733,unused unit", 0), ("D:\\shop\\Tax.pas;7;3;W733;a, b, c", 0), ('"D:\\shop\\Tax.pas",7,3,O201,"W733, twice"', 1)],
 )
 def test_csv_filter(spark, line, kept):
-    assert lint.filter_csv(as_lines(spark, line + "\n"), [], ["W501"], [line]).count() == kept
+    assert lint.filter_csv(as_lines(spark, line + "\n"), [], ["W733"], [line]).count() == kept
 
 
 def test_csv_header_masks_and_fields(spark):
@@ -117,72 +117,87 @@ def test_forms(spark):
     assert forms.property_line(rows, "btn", "left").first().line == 16
 
 
-LOG = ["F:\\repo\\src\\main.pas(10): error E2003: Undeclared", "F:\\repo\\3rdParty\\x.pas(4): error E1: no", "F:\\repo\\src\\a.pas(5): warning W1000: y", "F:\\repo\\src\\a.pas(6): warning W2000: z", "F:\\repo\\src\\b.pas(7): hint H1: q", "F:\\repo\\src\\b.pas(8): hint warning H2000: r"]
+LOG = r"""Building the warehouse
+D:\shop\ui\Basket.pas(88,14): hint H2164: 'Total' is assigned but never used
+D:\shop\ui\Basket.pas(91): warning W1036: 'Sum' might not be initialized
+D:\shop\gen\Codes.pas(2): error E2029: expected ';'
+D:\other\Tax.pas(7,1): error E2010: incompatible types
+ui\Basket.pas(120): hint H2443: inline function not expanded
+D:\shop\ui\Basket.pas(130,2): warning W1057: implicit string cast
+done in 3 s"""
 
 
 def test_build_log(spark):
-    rows = spark.createDataFrame([("out", i, x) for i, x in enumerate(LOG)], "stream string, line_no int, raw string")
-    found = build_log.findings(rows, "F:\\repo", ["W2000", "H2000"], ["3rdParty\\*"])
-    assert build_log.counts(found).first().asDict() == {"errors": 1, "warnings": 1, "hints": 1}
-    assert found.orderBy("line_no").first().display == "src\\main.pas(10): error E2003: Undeclared"
-    doc = json.loads(render.build_document(build_log.counts(found), build_log.listed(found, 5)).first().value)
-    assert doc["errors"] == 1 and doc["findings"]["error"] == ["src\\main.pas(10): error E2003: Undeclared"]
+    rows = spark.createDataFrame([("all", i, x) for i, x in enumerate(LOG.split("\n"))], "stream string, line_no int, raw string")
+    found = build_log.findings(rows, "D:\\shop", ["w1057"], ["gen\\*"])
+    assert [(r["class"], r.code, r.file, r.line) for r in found.orderBy("line_no").collect()] == [
+        ("hint", "H2164", "ui\\Basket.pas", 88), ("warning", "W1036", "ui\\Basket.pas", 91), ("error", None, "D:\\other\\Tax.pas", 7), ("hint", "H2443", "ui\\Basket.pas", 120)]
+    assert build_log.counts(found).first().asDict() == {"errors": 1, "warnings": 1, "hints": 2}
+    doc = json.loads(render.build_document(build_log.counts(found), build_log.listed(found, 1)).first().value)
+    assert doc["hints"] == 2 and doc["findings"]["hint"] == ["ui\\Basket.pas(88,14): hint H2164: 'Total' is assigned but never used"]
 
 
-GLOBALS = """unit Fix.Globals;
+STORE = """unit Shop.Store;
 interface
-uses System.SysUtils;
+uses Shop.Types, Data.Rows;
+const
+  Version = '2';
+  Shelves: array[0..1] of string = ('left', 'right');
 type
-  TCache = class
-    class var sCache: Integer;
-    procedure Go;
+  TStore = class
+  public
+    class var
+      fOpened, fClosed: Integer;
+    function Room: Integer;
   end;
 var
-  GCounter: Integer = 0; // main
-  GUnused: string;
+  Pallets, Carts: Integer;
 threadvar
-  GThread: Integer;
-const
-  GPlain = 3;
-  GTyped: Integer = 5;
+  Clerk: string;
 implementation
+function TStore.Room: Integer;
+begin
+  Result := Pallets;
+  Inc(fOpened);
+end;
 end.
 """
-CONSUMER = """unit Fix.Consumer;
+REPORT = """unit Shop.Report;
 interface
-procedure Touch(aValue: Integer);
 implementation
-uses Fix.Globals, Fix.Missing;
-procedure Touch(aValue: Integer);
+uses Shop.Store;
+procedure Print(Carts: Integer);
 var
-  lLocal: Integer;
-  GUnused: string;
+  Line: string;
+begin
+  Line := Shelves[0] + Clerk;
+  Pallets := Carts;
+  // Clerk := 'nobody';
+end;
+procedure Reset;
 begin
-  GCounter := GCounter + aValue;
-  GThread := 2;
-  lLocal := GTyped;
-  TCache.sCache := lLocal;
-  GUnused := 'x { }';
+  Pallets := 0; { fClosed := 1 }
 end;
 end.
 """
 
 
 def test_globals(spark):
-    facts = pascal.read(as_files(spark, [("Fix.Globals.pas", GLOBALS), ("Fix.Consumer.pas", CONSUMER)])).cache()
+    facts = pascal.read(as_files(spark, [("Shop.Store.pas", STORE), ("Shop.Report.pas", REPORT)])).cache()
     symbols = pascal.symbols(facts)
-    assert {(r["name"], r["kind"]) for r in symbols.collect()} == {("GCounter", "var"), ("GUnused", "var"), ("GThread", "threadvar"), ("GTyped", "typedconst"), ("sCache", "classvar")}
+    kinds = {"Shelves": "typedconst", "fOpened": "classvar", "fClosed": "classvar", "Pallets": "var", "Carts": "var", "Clerk": "threadvar"}
+    assert {r["name"]: r["kind"] for r in symbols.collect()} == kinds
     usages = relations.without_locals(pascal.usages(facts), pascal.routine_locals(facts))
     refs, ambiguous = relations.resolve_usages(usages, symbols, pascal.unit_uses(facts))
     refs = refs.cache()
     every = relations.filter_symbols(symbols, refs)
-    assert relations.symbol_summary(symbols, refs, every, ambiguous).first().asDict() == {"total": 5, "used": 4, "unused": 1, "emitted": 5, "ambiguities": 0}
-    assert {r["name"] for r in relations.filter_symbols(symbols, refs, access="writes").collect()} == {"GCounter", "GThread", "sCache"}
-    assert [r["name"] for r in relations.filter_symbols(symbols, refs, unused=True).collect()] == ["GUnused"]
+    assert relations.symbol_summary(symbols, refs, every, ambiguous).first().asDict() == {"total": 6, "used": 4, "unused": 2, "emitted": 6, "ambiguities": 0}
+    assert {r["name"] for r in relations.filter_symbols(symbols, refs, access="writes").collect()} == {"Pallets"}  # a parameter hides Carts
+    assert {r["name"] for r in relations.filter_symbols(symbols, refs, unused=True).collect()} == {"fClosed", "Carts"}
     with pytest.raises(ValueError):
         relations.filter_symbols(symbols, refs, access="reads", unused=True)
     missing = pascal.dependency_nodes(facts).where("resolution_rank = 1").select("name").collect()
-    assert {r["name"] for r in missing} == {"System.SysUtils", "Fix.Missing"}
+    assert {r["name"] for r in missing} == {"Shop.Types", "Data.Rows"}
 
 
 def unit(name, interface=(), implementation=()):
@@ -191,18 +206,18 @@ def unit(name, interface=(), implementation=()):
 
 
 def test_dependency_cycles(spark):
-    sources = [unit("CycleA", ["CycleB"], ["Gone.Unit"]), unit("CycleB", [], ["CycleA"]), unit("Consumer", ["CycleA"]), unit("PathA", ["PathC"]), unit("PathC", ["PathB"]), unit("PathB", ["PathA"]), unit("Loop", [], ["Loop"])]
+    sources = [unit("Orders", ["Prices", "Mail.Client"], ["Stock"]), unit("Prices", [], ["Taxes"]), unit("Taxes", ["Rates"]), unit("Rates", [], ["Prices"]), unit("Stock", ["Stock"]), unit("Ship", ["Pack"]), unit("Pack", [], ["Ship", "Orders"])]
     facts = pascal.read(as_files(spark, sources)).cache()
     nodes, edges = graph.merge_nodes(pascal.dependency_nodes(facts)), graph.distinct_edges(pascal.uses_edges(facts))
     members = graph.cycle_components(nodes, edges)
     inner = graph.internal_edges(edges, members)
-    assert {r.cycle for r in graph.representative_cycles(inner, members).collect()} == {"CycleA -> CycleB -> CycleA", "PathA -> PathC -> PathB -> PathA", "Loop -> Loop"}
-    assert {(r["name"], r.score) for r in graph.unit_scores(inner).collect()} >= {("Loop", 2), ("CycleA", 2), ("PathB", 2)}
+    assert {r.cycle for r in graph.representative_cycles(inner, members).collect()} == {"Prices -> Taxes -> Rates -> Prices", "Stock -> Stock", "Pack -> Ship -> Pack"}
+    assert {(r["name"], r.score) for r in graph.unit_scores(inner).collect()} >= {("Stock", 2), ("Taxes", 2), ("Ship", 2)}
     top = graph.sort_hotspot_edges(graph.hotspot_edges(inner)).first()
     assert (top.edge_kind, top["rank"], top.hint) == ("implementation", 4, "easier")
-    out, cycles = graph.focus(edges, members, "cyclea")
+    out, cycles = graph.focus(edges, members, "pack")
     assert out.count() == 2 and cycles.count() == 1
-    assert graph.graph_counts(nodes, edges, nodes.limit(0)).first().asDict() == {"nodes": 8, "resolved": 7, "unresolved": 1, "edges": 8, "problems": 0}
+    assert graph.graph_counts(nodes, edges, nodes.limit(0)).first().asDict() == {"nodes": 8, "resolved": 7, "unresolved": 1, "edges": 10, "problems": 0}
 
 
 PROJECT = """<Project><PropertyGroup><MainSource>S.dpr</MainSource><CfgDependentOn>S.optset</CfgDependentOn><Def>BASE;$(Def)</Def></PropertyGroup>
