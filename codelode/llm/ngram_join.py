@@ -103,9 +103,9 @@ def part_keys(shingles: np.ndarray, cut: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Hashed bits of a set, 4 to 8 per shingle up to MOST_BITS; a longer bitmap folds to a shorter one by OR."""
-    size = min(MOST_BITS, max(64, 1 << (4 * len(shingles) - 1).bit_length())) if len(shingles) else 64
+def bitmap(shingles: np.ndarray, per: int = 4) -> bytes:
+    """Hashed bits of a set, ``per`` to twice as many a shingle, up to MOST_BITS; a longer bitmap folds to a shorter one by OR."""
+    size = min(MOST_BITS, max(64, 1 << (per * len(shingles) - 1).bit_length())) if len(shingles) else 64
     bits = np.zeros(size, np.uint8)
     bits[(mix(shingles ^ np.uint64(7)) % np.uint64(size)).astype(np.intp)] = 1
     return np.packbits(bits, bitorder="little").tobytes()

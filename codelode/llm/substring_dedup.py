@@ -34,6 +34,8 @@ BANDS, ROWS, SHINGLE, REACH, LONGEST = 10, 4, 5, 4, 16
 BROADCAST_PLACES = 100_000
 _ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 LINE, PART = 0, 1
+#: Bits a shingle in the bitmaps of paragraphs: so many that few collide, as templates bring many pairs just under the threshold.
+BITS = 32
 
 
 def lines(text: str | None) -> list[list[bytes]]:
@@ -169,7 +171,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashed = kept("words", WordHashes)
     for batch in batches:
         sets = [shingle_hashes(hashed.of(x.as_py().split()), SHINGLE) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["node", "n", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, BITS) for s in sets], pa.binary())], names=["node", "n", "bits"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 20, num: int = 80, den: int = 100, min_passage: int = 15) -> DataFrame:
