@@ -250,8 +250,8 @@ def settings_cascade(rows: DataFrame, list_keys: list[str]) -> DataFrame:
 def as_of(values: DataFrame, table: DataFrame, value: str = "major", key: str = "key", result: str = "result") -> DataFrame:
     """Each row's ``result`` at the greatest ``key`` not above its ``value``; null if all are above.
 
-    Both sides are put in one order per run and the last key seen is carried on, so no
-    range join is formed. The table is a dimension of versions.
+    The table is a dimension of versions, some hundreds of rows at most: it becomes one sorted
+    array that is sent to every task and searched per row, so no range join is formed.
     """
     left = values.withColumn("_at", F.col(value)).withColumn("_side", F.lit(1)).withColumn("_result", F.lit(None).cast(table.schema[result].dataType))
     steps = table.groupBy(F.col(key).alias("_at")).agg(F.max(result).alias("_result")).orderBy("_at")
