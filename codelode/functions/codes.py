@@ -15,6 +15,11 @@ ANALYZER_PRIORITY = {"strong-warning": 300, "warning": 200, "exception": 150, "h
 STRONG_SPELLINGS = ["strong-warning", "strong_warning", "strongwarning"]
 SARIF_OF_SEVERITY = {"strong-warning": "warning"}
 SARIF_OF_LINT = {"W": "warning"}
+EXIT_OF_FAILURE = {
+    "invalidInput": 3, "toolNotFound": 3, "checkFailed": 30, "generatedProjectMissing": 31, "injectFilesMissing": 32, "projectPatchFailed": 33,
+    "buildFailed": 34, "validatorNotFound": 35, "validatorFailed": 36, "generatorIncompatible": 37,
+}
+TOOL_CODE_FIRST = ["checkFailed", "buildFailed", "validatorFailed", "generatorIncompatible"]
 LOOKUP_DEFINITION = ["Undeclared identifier", "Identifier not found", "Undeclared field", "Undeclared method", "Undeclared member"]
 
 
@@ -82,6 +87,11 @@ def sarif_uri(path: Column) -> Column:
     return F.when((p != "") & (p != ".") & ~F.startswith(folded, F.lit("../")), folded)
 
 
+def content_hash(content: Column) -> Column:
+    """SHA-256 of a file's bytes, to tell equal contents."""
+    return F.sha2(content, 256)
+
+
 def file_stamp(modified: Column) -> Column:
     return F.date_format(modified, "yyyyMMddHHmmssSSS")
 
@@ -93,6 +103,19 @@ def build_status(timed_out: Column, exit_code: Column, output_locked: Column, wa
     )
 
 
+def exit_code(failure: Column, tool_code: Column) -> Column:
+    """The exit code for a kind of failure: a tool's own code without one, or if it says more; 1 for other kinds."""
+    own = (failure == "none") | (failure.isin(TOOL_CODE_FIRST) & (tool_code != 0))
+    return F.when(own, tool_code).otherwise(pick(failure, EXIT_OF_FAILURE, 1))
+
+
+def filter_text(unused: bool = False, reads: bool = False, writes: bool = False, unit: str | None = None, name: str | None = None) -> str:
+    """Which symbols a report shows, in words; ``all`` without a filter."""
+    parts = [text for on, text in ((unused, "unused-only"), (reads, "reads-only"), (writes, "writes-only")) if on]
+    parts += [f"{key}={value}" for key, value in (("unit", unit), ("name", name)) if value is not None]
+    return ";".join(parts).strip() or "all"
+
+
 def enrichment_operation(message: Column, token: Column, enclosing: Column) -> Column:
     """Which lookup helps to explain a compiler message: definition of what is undeclared, hover for the rest, symbols without a token; null for none."""
     low = F.lower(message)

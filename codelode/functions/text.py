@@ -223,6 +223,11 @@ def xml_escape(value: Column) -> Column:
     return out
 
 
+def cmd_quote(value: Column) -> Column:
+    """A command-line argument in double quotes, those inside doubled."""
+    return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def slug(text: Column, most: int = 64) -> Column:
     """Lower case, runs of other than ASCII letters and digits as one dash, none at the ends, then cut to ``most``; ``unknown`` if empty."""
     body = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "-")
@@ -276,6 +281,27 @@ def is_framework_unit(name: Column) -> Column:
     return test
 
 
+def drive_path(path: Column) -> Column:
+    """A trimmed path; one below a mounted drive (``/mnt/c/x``) becomes ``C:\\x``, other paths from a root slash have no drive and give null."""
+    p = F.trim(path)
+    drive = F.upper(F.regexp_extract(p, "^/[Mm][Nn][Tt]/([A-Za-z])(/|$)", 1))
+    return F.when(~F.startswith(p, F.lit("/")), p).when(drive != "", F.concat(drive, F.lit(":\\"), slashes(F.substr(p, F.lit(8)))))
+
+
+def absolute_path(path: Column, folder: str) -> Column:
+    """A path with its drive and without dot segments, taken from ``folder`` if relative; null if empty or without a drive."""
+    base = folder.replace("/", "\\").rstrip("\\")
+    p = slashes(F.nullif(drive_path(path), F.lit("")))
+    rooted = F.when(p.rlike(r"^([A-Za-z]:|\\\\)"), p).when(F.startswith(p, F.lit("\\")), F.concat(F.lit(base[:2]), p)).otherwise(F.concat(F.lit(base + "\\"), p))
+    root = F.regexp_extract(rooted, r"^([A-Za-z]:|\\\\[^\\]+\\[^\\]+)", 1)
+    kept = F.aggregate(
+        F.split(F.substr(rooted, F.length(root) + 1), r"\\"),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.concat(root, F.lit("\\"), F.array_join(kept, "\\"))
+
+
 def in_directory(path: Column, root: str) -> Column:
     """Whether a file lies under a directory, case-insensitive."""
     return F.startswith(F.lower(slashes(path)), F.lit(root.replace("/", "\\").rstrip("\\").lower() + "\\"))

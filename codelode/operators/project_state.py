@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from codelode.functions.codes import file_stamp
-from codelode.functions.text import contains_flag, resource_key, resource_token
+from codelode.functions.text import absolute_path, contains_flag, resource_key, resource_token, slashes
 from codelode.operators.relations import small
 
 PARTS = ("files", "symbols", "refs", "ambiguities")
@@ -88,6 +88,21 @@ def existing_paths(paths: DataFrame, listing: DataFrame) -> DataFrame:
     return paths.join(there, F.lower("path") == F.col("_p"), "left_semi")
 
 
+def project_files(requests: DataFrame, listing: DataFrame, folder: str) -> DataFrame:
+    """Requests (path, ...) with the project file meant (project), or why there is none (problem).
+
+    A project file stands for itself, a main source for the project beside it; ``listing`` (path) says what exists.
+    """
+    full = absolute_path(F.col("path"), folder)
+    suffix = F.lower(F.regexp_extract(full, r"(\.[^.\\]*)$", 1))
+    wanted = F.when(suffix == ".dproj", full).when(suffix.isin(".dpr", ".dpk"), F.regexp_replace(full, r"\.[^.\\]*$", ".dproj"))
+    there = listing.select(F.lower(slashes(F.col("path"))).alias("_p")).distinct()
+    out = requests.withColumns({"_full": full, "_suffix": suffix, "_wanted": wanted}).join(there, F.lower("_wanted") == F.col("_p"), "left")
+    problem = F.when(F.col("_full").isNull(), "no drive in path").when(F.col("_wanted").isNull(), "neither project nor main source")
+    problem = problem.when(F.col("_p").isNull(), F.when(F.col("_suffix") == ".dproj", "file not found").otherwise("no project beside the main source"))
+    return out.withColumn("project", F.when(F.col("_p").isNotNull(), F.col("_wanted"))).withColumn("problem", problem).drop("_full", "_suffix", "_wanted", "_p")
+
+
 def has_enough_markers(markers: list[Column], least: int = 2) -> Column:
     """Whether at least ``least`` of the markers hold."""
     total = F.lit(0)
@@ -142,11 +157,14 @@ def handler_declaration(handlers: DataFrame, lines: DataFrame) -> DataFrame:
     """Handlers (file, class, method) with the line of their declaration: the qualified one first, else the first unqualified."""
     pattern = r"(?i)^\s*(?:class\s+)?(?:procedure|function)\s+([\w.]+)"
     found = lines.select("file", "line_no", F.lower(F.regexp_extract("text", pattern, 1)).alias("_n")).where("_n <> ''")
-    h = handlers.withColumn("_id", F.monotonically_increasing_id())
-    plain, full = F.lower("method"), F.lower(F.concat_ws(".", "class", "method"))
-    hits = h.join(found, "file").where((F.col("_n") == plain) | (F.col("_n") == full))
-    best = hits.groupBy("_id").agg(F.min(F.struct(F.when(F.col("_n") == full, 0).otherwise(1), "line_no")).alias("b"))
-    return h.join(best, "_id", "left").select(*handlers.columns, F.col("b.line_no").alias("declaration_line"))
+    key = ["file", "class", "method"]
+    wanted = handlers.select(*key).distinct()
+    names = F.array(F.struct(F.lit(0).alias("r"), F.lower(F.concat_ws(".", "class", "method")).alias("n")), F.struct(F.lit(1).alias("r"), F.lower("method").alias("n")))
+    spelled = wanted.select(*key, F.inline(names)).withColumnRenamed("n", "_n")
+    best = spelled.join(found, ["file", "_n"]).groupBy(*key).agg(F.min(F.struct("r", "line_no"))["line_no"].alias("declaration_line"))
+    h, d = handlers.alias("h"), best.alias("d")
+    same = F.col("h.file").eqNullSafe(F.col("d.file")) & F.col("h.class").eqNullSafe(F.col("d.class")) & F.col("h.method").eqNullSafe(F.col("d.method"))
+    return h.join(d, same, "left").select("h.*", "d.declaration_line")
 
 
 def failure_guidance(failures: DataFrame, modules: DataFrame, lines: DataFrame) -> DataFrame:
@@ -162,7 +180,8 @@ def failure_guidance(failures: DataFrame, modules: DataFrame, lines: DataFrame)
 
 def promoted_warnings(warnings: DataFrame, diagnosed: DataFrame) -> DataFrame:
     """Warnings (path, ...) of forms where the diagnosis gave exactly one result; these count as failures."""
-    return warnings.join(diagnosed, "path", "inner")
+    once = diagnosed.groupBy("path").agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    return warnings.join(once, "path").join(diagnosed, "path")
 
 
 def first_sorted(files: DataFrame, key: str = "folder") -> DataFrame:

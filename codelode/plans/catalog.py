@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from codelode.functions import codes, text
 from codelode.operators import graph, project_state, relations
 from codelode.session import load
-from codelode.sinks import render
-from codelode.sources import build_log, lint
+from codelode.sinks import markdown, render
+from codelode.sources import build_log, forms, lint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,7 +227,7 @@ def distinct_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_shipmode AS section, n FROM (SELECT l_returnflag || '-' || (l_partkey % 23) AS l_shipmode, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS s FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+SELECT l_returnflag AS section, n FROM (SELECT l_returnflag || '-' || (l_partkey % 23) AS l_returnflag, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS s FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
 ORDER BY n DESC, s LIMIT 10
 """)
 def top_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -775,6 +775,132 @@ def changed_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.agg(F.count("*").alias("changed")).crossJoin(project_state.changed_units(changed).agg(F.count("*").alias("units")))
 
 
+# ---- codes, paths, validator logs, reports ----------------------------------------
+
+
+@query("""
+SELECT o_orderkey, sha256(o_orderpriority) AS content, strftime(CAST(o_orderdate AS DATE), '%Y%m%d') || '000000000' AS stamp,
+  ['project', 'contains', 'interface', 'implementation'][CAST(o_custkey % 4 AS INT) + 1] AS kind, CAST(o_custkey % 4 AS INT) AS place, o_orderkey % 5 IN (0, 1, 4) AS enabled,
+  CAST(CASE o_orderkey % 5 WHEN 0 THEN o_custkey % 3 WHEN 1 THEN CASE WHEN o_custkey % 3 <> 0 THEN o_custkey % 3 ELSE 34 END WHEN 2 THEN 35 WHEN 3 THEN 3 ELSE 1 END AS INT) AS exit_code,
+  CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 5 <> 0 THEN 'symbols' END WHEN o_custkey % 3 < 2 THEN 'definition' ELSE 'hover' END AS operation
+FROM orders
+""")
+def code_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    one_of = lambda place, *items: F.get(F.array(*[F.lit(x) for x in items]), place.cast("int"))
+    kind = codes.name_of((cust % 4).cast("int"), codes.EDGE_KINDS)
+    failure = one_of(key % 5, "none", "buildFailed", "validatorNotFound", "toolNotFound", "something else")
+    message = one_of(cust % 3, "Undeclared identifier: x", "UNDECLARED METHOD y", "Type mismatch")
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", codes.content_hash(F.col("o_orderpriority")).alias("content"), codes.file_stamp(F.col("o_orderdate").cast("date")).alias("stamp"), kind.alias("kind"),
+        codes.ordinal(kind, codes.EDGE_KINDS).alias("place"), codes.truthy(one_of(key % 5, "1", " Yes", "off", "", "ON ")).alias("enabled"),
+        codes.exit_code(failure, (cust % 3).cast("int")).alias("exit_code"),
+        codes.enrichment_operation(message, F.when(key % 2 == 0, "").otherwise("x"), F.when(cust % 5 == 0, "").otherwise("P")).alias("operation"),
+    )
+
+
+@query(r"""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'C:\src\A.dpr' WHEN 1 THEN 'C:\work\sub\U' || p_partkey WHEN 3 THEN 'D:\b' || p_partkey WHEN 4 THEN 'C:\r\' || p_partkey WHEN 5 THEN '\\srv\share\x' END AS full_path,
+  '"a""' || p_name || '"' AS quoted, 'W5' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS rule, 'A;' || upper(p_brand) AS resources
+FROM part
+""")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    k = key.cast("string")
+    raw = F.when(key % 6 == 0, F.concat(F.lit(" /mnt/c/src/"), k, F.lit("/../A.dpr"))).when(key % 6 == 1, F.concat(F.lit("sub/./U"), k)).when(key % 6 == 2, "/opt/x")
+    raw = raw.when(key % 6 == 3, F.concat(F.lit(r"D:\a\..\..\b"), k)).when(key % 6 == 4, F.concat(F.lit("\\r\\"), k)).otherwise(r"\\srv\share\..\x")
+    return load(spark, sf_dir, "part").select(
+        "p_partkey", text.absolute_path(raw, "C:/work/").alias("full_path"), text.cmd_quote(F.concat(F.lit('a"'), "p_name")).alias("quoted"),
+        text.rule_id_from_line(F.concat(F.lit("  w5"), F.lpad((key % 100).cast("string"), 2, "0"), F.lit(" unused"))).alias("rule"),
+        F.array_join(text.requested_resources(F.concat("p_brand", F.lit(".dfm, a;"), "p_brand")), ";").alias("resources"),
+    )
+
+
+@query(r"""
+WITH r AS (SELECT p_partkey, p_partkey % 50 AS n, p_partkey % 3 AS k FROM part)
+SELECT p_partkey, CASE WHEN s_suppkey IS NULL THEN NULL WHEN k = 0 THEN 'C:\work\p' || n || '.dproj' ELSE 'C:\work\P' || n || '.DPROJ' END AS project,
+  CASE WHEN k = 2 THEN 'neither project nor main source' WHEN s_suppkey IS NOT NULL THEN NULL WHEN k = 1 THEN 'file not found' ELSE 'no project beside the main source' END AS problem
+FROM r LEFT JOIN supplier ON s_suppkey = n AND k < 2
+""")
+def project_of_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    n = (key % 50).cast("string")
+    path = F.when(key % 3 == 0, F.concat(F.lit("p"), n, F.lit(".dpr"))).when(key % 3 == 1, F.concat(F.lit("/mnt/c/work/P"), n, F.lit(".DPROJ"))).otherwise("x.txt")
+    listing = load(spark, sf_dir, "supplier").select(F.concat(F.lit("c:/work/p"), F.col("s_suppkey").cast("string"), F.lit(".dproj")).alias("path"))
+    return project_state.project_files(load(spark, sf_dir, "part").select("p_partkey", path.alias("path")), listing, "C:\\work").drop("path")
+
+
+@query("""
+SELECT l_orderkey % 100 AS path, l_orderkey * 10 + l_linenumber AS line_no, CASE l_linenumber % 4 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'CHECK' ELSE 'WARN' END AS kind,
+  CASE WHEN l_linenumber % 4 < 2 THEN 'TForm' || l_partkey ELSE 'Main.dfm' END AS resource,
+  CASE l_linenumber % 4 WHEN 0 THEN 'no method ''Do' || l_suppkey || ''' (OnClick)' WHEN 3 THEN 'lost property Caption' END AS reason,
+  CASE WHEN l_linenumber % 4 = 3 THEN 'Caption' END AS member, CASE WHEN l_linenumber % 4 = 0 THEN 'Do' || l_suppkey END AS method, CASE WHEN l_linenumber % 4 = 0 THEN 'OnClick' END AS event
+FROM lineitem WHERE l_linenumber % 4 <> 2
+""")
+def validator_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, part = F.col("l_linenumber") % 4, F.col("l_partkey").cast("string")
+    line = F.when(kind == 0, F.concat(F.lit("FAIL TForm"), part, F.lit(" - no method 'Do"), F.col("l_suppkey").cast("string"), F.lit("' (OnClick)")))
+    line = line.when(kind == 1, F.concat(F.lit("CHECK: TForm"), part)).when(kind == 3, "[WARN] Main.dfm: lost property Caption").otherwise("streaming forms")
+    rows = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), line.alias("text"))
+    return build_log.validator_results(rows)
+
+
+@query("SELECT l_orderkey % 50 AS path, bool_or(l_suppkey % 30 = 3 AND l_linenumber = 1) AS generated FROM lineitem GROUP BY 1")
+def generated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("l_linenumber") == 1, ".PAS(7): Error E1").otherwise(".pas compiled")
+    line = F.concat(F.lit("Unit"), (F.col("l_suppkey") % 30).cast("string"), state)
+    return build_log.is_generated_failure(load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("path"), line.alias("text")), ["unit3.pas"])
+
+
+@query("""
+SELECT c_custkey // 3 AS path, min('b' || c_custkey) AS button, min('a' || c_custkey) AS action FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1 HAVING count(*) = 1
+""")
+def button_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer").select(F.expr("c_custkey div 3").alias("path"), F.col("c_custkey").cast("string").alias("k"), (F.col("c_nationkey") % 3 == 0).alias("listed"))
+    node = lambda df, name, cls, id_, parent, action: df.select("path", name.alias("name"), F.lit(cls).alias("class"), id_.cast("string").alias("node_id"), parent.alias("parent_id"), F.create_map(F.lit("Action"), action).alias("props"))
+    none, forms_ = F.lit(None).cast("string"), c.select("path").distinct()
+    out = node(c, F.concat(F.lit("b"), "k"), "TBITBTN", F.concat(F.lit("b"), "k"), F.lit("form"), F.concat(F.lit("a"), "k"))
+    out = out.union(node(c, F.concat(F.lit("a"), "k"), "TAction", F.concat(F.lit("a"), "k"), F.when(F.col("listed"), "list").otherwise("form"), none))
+    out = out.union(node(forms_, F.lit("form"), "TForm", F.lit("form"), none, none)).union(node(forms_, F.lit("list"), "TActionList", F.lit("list"), F.lit("form"), none))
+    return forms.standalone_action_button(out)
+
+
+@query("""
+WITH c AS (SELECT 'W' || (500 + l_suppkey % 15) AS code, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT row_number() OVER (ORDER BY n DESC, lower(code)) AS r, * FROM c QUALIFY r <= 10),
+h AS (SELECT unnest(generate_series(0, 12)) AS ordinal, unnest(['# Static analysis summary: P', '', '- Timestamp: now', '- Project: `p.dproj`', '- Outputs: `out`', '', '## Lint', '',
+  '- Report files: txt=`a.txt`, csv=`a.csv`', '- Exit codes: txt=0, csv=1', '- Note: some outputs are missing (csv).', '- Findings (by code): ' || (SELECT sum(n) FROM c), '- Top codes:']) AS value),
+z AS (SELECT 13 + (SELECT count(*) FROM t) + unnest(generate_series(0, 3)) AS ordinal, unnest(['', '## Analyzer', '', '- Skipped.']) AS value)
+SELECT * FROM h UNION ALL SELECT 12 + r, '  - ' || code || ': ' || n FROM t UNION ALL SELECT * FROM z
+""")
+def project_summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = relations.code_counts(load(spark, sf_dir, "lineitem").select(F.concat(F.lit("W"), (F.col("l_suppkey") % 15 + 500).cast("string")).alias("code")))
+    runs = spark.createDataFrame([("csv", "a.csv", 1, False), ("txt", "a.txt", 0, True)], "kind string, path string, exit_code int, present boolean")
+    none = spark.createDataFrame([], "output_root string, exit_code int, report_root string, version string, compiler string, warnings int, strong_warnings int, exceptions int")
+    return markdown.project_summary("P", "p.dproj", "out", "now", runs, counts, none)
+
+
+@query("""
+WITH f AS (SELECT DISTINCT s_suppkey % 5 AS u FROM supplier),
+a AS (SELECT l_orderkey * 10 + l_linenumber AS seq, '- [W5] src/U' || u || '.pas:' || l_linenumber || ':? - ' || l_returnflag AS value FROM lineitem JOIN f ON u = l_suppkey % 7),
+b AS (SELECT o_orderkey AS seq, '- [' || o_orderpriority || '] u' || u || ':1 - ' AS value FROM orders JOIN f ON u = o_custkey % 7),
+h AS (SELECT 0 AS part, unnest(generate_series(0, 4)) AS ordinal, unnest(['# T (changed files)', '', '- Timestamp: now', '- Changed files: ' || (SELECT count(*) FROM f), '']) AS value)
+SELECT * FROM h UNION ALL SELECT 1, -1, '## Changed files' UNION ALL SELECT 1, 0, '- `src/U' || u || '.pas`' FROM f UNION ALL SELECT 2, -1, ''
+UNION ALL SELECT 3, -2, '## Lint (changed files)' UNION ALL SELECT 3, -1, '- Findings: ' || (SELECT count(*) FROM a) UNION ALL SELECT 4, -1, '' UNION ALL SELECT 3, * FROM (SELECT * FROM a ORDER BY seq, value LIMIT 200)
+UNION ALL SELECT 5, -2, '## Analyzer (changed files)' UNION ALL SELECT 5, -1, '- Findings: ' || (SELECT count(*) FROM b) UNION ALL SELECT 6, -1, '' UNION ALL SELECT 5, * FROM (SELECT * FROM b ORDER BY seq, value LIMIT 200)
+""")
+def changed_files_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = load(spark, sf_dir, "supplier").select(F.concat(F.lit("src/U"), (F.col("s_suppkey") % 5).cast("string"), F.lit(".pas")).alias("path"))
+    lint_rows = load(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit("W5").alias("code"), F.concat(F.lit("src/U"), (F.col("l_suppkey") % 7).cast("string"), F.lit(".pas")).alias("path"),
+        F.col("l_linenumber").alias("line"), F.lit(None).cast("int").alias("col"), F.col("l_returnflag").alias("message"),
+    )
+    analyzer = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("section"), F.concat(F.lit(" u"), (F.col("o_custkey") % 7).cast("string")).alias("module"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("message"),
+    )
+    return markdown.changed_report("T", "now", changed, lint_rows, analyzer)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependency edges inside cycles, the best to cut first."""
     return hotspot_pairs(spark, sf_dir)
