@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.codes import sarif_level, sarif_level_of_lint, sarif_uri
-from codelode.functions.text import one_line, slug, xml_escape
+from codelode.functions.text import is_framework_unit, one_line, slug, xml_escape
+from codelode.operators.graph import focus
 
 
 def finding_lines(findings: DataFrame) -> DataFrame:
@@ -92,12 +93,33 @@ def dependency_document(nodes: DataFrame, edges: DataFrame, cycles: DataFrame, h
     return out.select(F.to_json(F.struct(*out.columns)).alias("value"))
 
 
-def dependency_lines(edges: DataFrame, hotspots: DataFrame, top: int = 20, hide_framework: bool = True) -> DataFrame:
-    """(section, ordinal, value): edges and the top hotspots as text; ``top`` 0 is all. Framework units are left out of the unresolved ones by the caller's filter."""
-    e = edges.select(F.lit("edges").alias("section"), F.format_string("%s -> %s [%s]", "src", "dst", "edge_kind").alias("value"))
+def dependency_lines(edges: DataFrame, hotspots: DataFrame, nodes: DataFrame | None = None, top: int = 20, hide_framework: bool = True) -> DataFrame:
+    """(section, ordinal, value): edges, unresolved units and the top hotspots as text, each section in order; ``top`` 0 is all.
+
+    ``nodes`` (name, resolution_rank) gives the units without a source (rank 1); those of the framework are only
+    counted if ``hide_framework``. Rows sorted by all three columns are the text; hotspots carry their negative rank as ordinal.
+    """
+    e = edges.select(F.lit("edges").alias("section"), F.format_string("%s -> %s [%s]", "src", "dst", "edge_kind").alias("value"), F.lit(0).alias("ordinal"))
+    out = e
+    if nodes is not None:
+        lost = nodes.where("resolution_rank = 1")
+        shown = lost.where(~is_framework_unit(F.col("name"))) if hide_framework else lost
+        out = out.union(shown.select(F.lit("unresolved"), F.col("name"), F.lit(0)))
+        if hide_framework:
+            n = lost.where(is_framework_unit(F.col("name"))).agg(F.count("*").alias("n")).where("n > 0")
+            out = out.union(n.select(F.lit("unresolved"), F.format_string("(%d framework units hidden)", "n"), F.lit(1)))
     h = hotspots.orderBy(F.desc("rank"), F.lower("src"), F.lower("dst"))
-    h = (h.limit(top) if top > 0 else h).select(F.lit("hotspots").alias("section"), F.format_string("%s -> %s rank %d (%s)", "src", "dst", "rank", "hint").alias("value"))
-    return e.union(h)
+    h = (h.limit(top) if top > 0 else h).select(F.lit("hotspots"), F.format_string("%s -> %s rank %d (%s)", "src", "dst", "rank", "hint"), -F.col("rank").cast("int"))
+    return out.union(h).select("section", "ordinal", "value")
+
+
+def focus_lines(edges: DataFrame, members: DataFrame, unit: str) -> DataFrame:
+    """(section, value): what a unit uses and the cycles that hold it; a section without rows says none."""
+    uses, cycles = focus(edges, members, unit)
+    u = uses.select(F.lit("uses").alias("section"), F.format_string("%s [%s]", "dst", "edge_kind").alias("value"))
+    c = cycles.select(F.lit("cycles").alias("section"), F.array_join("members", ", ").alias("value"))
+    heads = edges.sparkSession.createDataFrame([("uses",), ("cycles",)], "section string")
+    return heads.join(u.union(c), "section", "left").select("section", F.coalesce("value", F.lit("none")).alias("value"))
 
 
 def symbol_document(symbols: DataFrame) -> DataFrame:

@@ -14,12 +14,17 @@ from pyspark.sql.types import StructType
 from codelode.session import ship
 
 
+ANSI = "cp1252"
+#: Characters of the ANSI code page where Latin-1 has control characters.
+CONTROLS, WESTERN = "".join(map(chr, range(0x80, 0xA0))), bytes(range(0x80, 0xA0)).decode(ANSI, "replace")
+
+
 def decode(content: bytes) -> str:
     """UTF-8, with or without its mark, else the western code page."""
     try:
         return content.decode("utf-8-sig")
     except UnicodeDecodeError:
-        return content.decode("cp1252", "replace")
+        return content.decode(ANSI, "replace")
 
 
 def text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -34,8 +39,9 @@ def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def file_text(content: Column) -> Column:
-    """Contents as text: UTF-8 without its mark, else Latin-1 (bytes 80 to 9F stay control characters)."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    """Contents as text, as :func:`decode` gives it, inside the JVM."""
+    western = F.translate(F.decode(content, "ISO-8859-1"), CONTROLS, WESTERN)
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(western)
     return F.regexp_replace(text, "^﻿", "")
 
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from codelode.functions import codes, text
 from codelode.operators import graph, project_state as state
-from codelode.sinks import markdown
+from codelode.sinks import markdown, render
+from codelode.sources import files
 
 LINT = "code string, path string, line int, col int, message string"
 ANALYZER = "severity string, section string, module string, path string, line int, message string"
@@ -77,3 +78,24 @@ def test_handlers_and_promoted_warnings(spark):
     warnings = spark.createDataFrame([("a", "w"), ("b", "w"), ("c", "w")], "path string, text string")
     diagnosed = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "path string, hit int")
     assert [(r.path, r.hit) for r in state.promoted_warnings(warnings, diagnosed).collect()] == [("a", 1)]
+
+
+def test_dependency_text(spark):
+    edges = spark.createDataFrame([("A", "B", "interface"), ("B", "A", "implementation"), ("A", "System.X", "interface")], "src string, dst string, edge_kind string")
+    hot = spark.createDataFrame([("A", "B", 2, "harder"), ("B", "A", 5, "easier")], "src string, dst string, rank int, hint string")
+    nodes = spark.createDataFrame([("A", 0), ("B", 0), ("System.X", 1), ("Lost", 1)], "name string, resolution_rank int")
+    lines = lambda **k: [(r.section, r.value) for r in render.dependency_lines(edges, hot, nodes, **k).orderBy("section", "ordinal", "value").collect()]
+    assert lines(top=1) == [
+        ("edges", "A -> B [interface]"), ("edges", "A -> System.X [interface]"), ("edges", "B -> A [implementation]"), ("hotspots", "B -> A rank 5 (easier)"),
+        ("unresolved", "Lost"), ("unresolved", "(1 framework units hidden)"),
+    ]
+    assert [v for s, v in lines(hide_framework=False) if s == "unresolved"] == ["Lost", "System.X"]
+    members = spark.createDataFrame([(1, "A"), (1, "B")], "scc_id long, name string")
+    focused = lambda unit: sorted((r.section, r.value) for r in render.focus_lines(edges, members, unit).collect())
+    assert focused("b") == [("cycles", "A, B"), ("uses", "A [implementation]")] and focused("Lost") == [("cycles", "none"), ("uses", "none")]
+
+
+def test_both_decoders_agree(spark):
+    for raw in (bytes(range(256)), "\ufeffäß€".encode(), "€".encode("cp1252"), b"", b"\x81\x9f"):
+        got = spark.createDataFrame([(bytearray(raw),)], "content binary").select(files.file_text(F.col("content")).alias("t")).first().t
+        assert got == files.decode(raw)
