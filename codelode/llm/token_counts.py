@@ -4,7 +4,8 @@ A rollup is a folder. Each batch appends a log of signed rows per document (+1 w
 the new count, -1 with the count to take back) and the sums of those by source,
 language and tokenizer version; totals are the sums of all committed batches. No text
 is counted again: what a batch takes back is found by joining its ids with the log's
-narrow rows, which it reads whole. The marker that Spark's committer puts
+narrow rows, of which it reads the row groups that overlap the batch's range of ids (a
+batch of new, higher ids reads footers only). The marker that Spark's committer puts
 into a batch's sums is its commit: a batch that has it is never applied again, one
 that lacks it is written anew from the same state, so retries and replays are
 idempotent.
@@ -87,9 +88,10 @@ class TokenRollup:
             "doc_id", "source", "lang", F.lit(self.version).alias("tokenizer_version"), F.lit(1).cast("long").alias("docs"), "n_tokens"
         )
         log = plus.union(loose)
-        if self.committed():
+        low, high = counted.agg(F.min("doc_id"), F.max("doc_id")).first() if self.committed() else (None, None)
+        if low is not None:
             ids = counted.select("doc_id").where("doc_id is not null").distinct()
-            old = self._read("log", LOG).where(F.col("tokenizer_version") == self.version).join(ids, "doc_id", "left_semi")
+            old = self._read("log", LOG).where((F.col("tokenizer_version") == self.version) & F.col("doc_id").between(low, high)).join(ids, "doc_id", "left_semi")
             live = old.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("n_tokens").alias("n_tokens")).where("docs > 0")
             log = log.union(live.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("n_tokens")).alias("n_tokens")))
         log.write.mode("overwrite").parquet(f"{self.root}/log/{batch}")

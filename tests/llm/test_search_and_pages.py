@@ -137,6 +137,29 @@ def test_rollup(spark, make_docs):
     assert totals()[("src1", "fr")] == (2, 6)
 
 
+def test_rollup_against_a_dictionary(spark):
+    pytest.importorskip("public_tokenizers")
+    rollup = token_counts.TokenRollup(spark, scratch_folder(spark, "rollup-random"))
+    rng, live, loose = np.random.default_rng(4), {}, {}
+    for batch, (low, high) in enumerate([(0, 40), (40, 60), (10, 50), (100, 101), (0, 60), (30, 45)]):
+        ids = sorted({int(x) for x in rng.integers(low, high, 25)})
+        rows = [(i, " ".join("a" * int(rng.integers(0, 9))), f"s{rng.integers(3)}", [None, "en"][rng.integers(2)], ["insert", "revise", "delete"][rng.integers(3)]) for i in ids]
+        rows.append((None, "a a", "s0", "en", "insert"))
+        assert rollup.commit(batch, spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, op string"))
+        for i, text, source, lang, op in rows:
+            if op == "delete":
+                live.pop(i, None)
+            elif i is None:
+                loose[batch] = (source, lang, len(text.split()))
+            else:
+                live[i] = (source, lang, len(text.split()))
+        expected = {}
+        for source, lang, n in [*live.values(), *loose.values()]:
+            docs, tokens = expected.get((source, lang), (0, 0))
+            expected[source, lang] = (docs + 1, tokens + n)
+        assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == expected
+
+
 def test_rollup_query_equals_recount(spark, sf_dir):
     pytest.importorskip("public_tokenizers")
     from collections import Counter
