@@ -99,3 +99,12 @@ def test_both_decoders_agree(spark):
     for raw in (bytes(range(256)), "\ufeffäß€".encode(), "€".encode("cp1252"), b"", b"\x81\x9f"):
         got = spark.createDataFrame([(bytearray(raw),)], "content binary").select(files.file_text(F.col("content")).alias("t")).first().t
         assert got == files.decode(raw)
+
+
+def test_small_texts(spark):
+    rows = spark.createDataFrame([("", " ", "k", "_a1", True), (None, "n", "k", "1a", False)], "id string, name string, kind string, word string, is_error boolean")
+    got = rows.select(
+        text.first_filled(F.col("id"), F.col("name"), F.col("kind")).alias("first"), text.is_valid_identifier(F.col("word")).alias("ok"),
+        *[text.emit_source_context(m, F.col("is_error")).alias(m) for m in ("on", "off", "auto")],
+    ).collect()
+    assert [tuple(r) for r in got] == [("k", True, True, False, True), ("n", False, True, False, False)]
