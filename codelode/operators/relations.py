@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions.codes import analyzer_priority, fingerprint, lint_priority
 from codelode.functions.text import matches_pattern, module_key
+from codelode.session import broadcast_if_small, materialize
 
 #: Dimension rows that may be broadcast; larger ones shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -38,13 +39,37 @@ def candidates(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> DataFr
     return joined.join(seen, (F.lower("unit") == F.col("_u")) & (F.lower("symbol_unit") == F.col("_seen"))).drop("_key", "_u", "_seen")
 
 
+def _visible(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> DataFrame:
+    """(_unit, _key, _n, symbol_id), written: for each distinct unit and name of the usages, lower-cased, how many symbols of that name
+    their unit sees, its own or of a unit it uses, and the smallest.
+
+    Two equi-joins, on the name and on (unit, seen unit), of distinct keys only: neither usages nor
+    symbols of one unit and name multiply each other.
+    """
+    wanted = usages.select(F.lower("unit").alias("_unit"), F.lower("name").alias("_key")).distinct()
+    own = wanted.select("_unit", F.col("_unit").alias("_seen"))
+    seen = uses.select(F.lower("unit").alias("_unit"), F.lower("used").alias("_seen")).union(own).distinct()
+    declared = symbols.groupBy(F.lower("unit").alias("_seen"), F.lower("name").alias("_key")).agg(F.count("*").alias("_n"), F.min("symbol_id").alias("symbol_id"))
+    met = wanted.join(declared, "_key").join(seen, ["_unit", "_seen"]).groupBy("_unit", "_key")
+    return materialize(met.agg(F.sum("_n").alias("_n"), F.min("symbol_id").alias("symbol_id")), "visible")
+
+
 def resolve_usages(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(references, ambiguities): one visible candidate is a reference, more are an ambiguity, none drops the usage."""
+    """(references, ambiguities) of usages (usage_id, unit, name, ...): one visible candidate of a usage_id is a reference, more are an ambiguity, none drops the usage.
+
+    For references, candidates are counted for each distinct unit and name, so no row is made for a usage and a candidate.
+    A usage with one candidate of its own is ambiguous if another row has its usage_id and a candidate.
+    """
+    counts = _visible(usages, symbols, uses)
+    keys = usages.columns
+    keyed = usages.withColumns({"_unit": F.lower("unit"), "_key": F.lower("name")}).join(broadcast_if_small(counts), ["_unit", "_key"])
+    # only rows with one candidate carry their columns to the others of their usage_id
+    lean = keyed.select(F.col("usage_id").alias("_id"), "_n", F.when(F.col("_n") == 1, F.struct(*keys, "symbol_id")).alias("_row"))
+    single = lean.withColumn("_n", F.sum("_n").over(Window.partitionBy("_id"))).where("_row is not null")
+    refs = single.where("_n = 1").select("_row.*")
     found = candidates(usages, symbols, uses)
     counted = found.withColumn("_n", F.count("*").over(Window.partitionBy("usage_id")))
-    refs = counted.where("_n = 1").drop("_n", "symbol_unit", "symbol_name")
     names = F.array_sort(F.collect_list(F.concat_ws(".", "symbol_unit", "symbol_name")))
-    keys = [c for c in usages.columns]
     ambiguous = counted.where("_n > 1").groupBy(*keys).agg(F.array_join(names, "; ").alias("candidates"))
     return refs, ambiguous
 
