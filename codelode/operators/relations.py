@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.codes import analyzer_priority, fingerprint, lint_priority
@@ -27,21 +27,9 @@ def without_locals(usages: DataFrame, routine_locals: DataFrame) -> DataFrame:
     return usages.withColumn("_key", F.lower("name")).join(shadow, ["routine_id", "_key"], "left_anti").drop("_key")
 
 
-def candidates(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> DataFrame:
-    """Usages (usage_id, unit, name, ...) with every symbol (symbol_id, unit, name) of that name which their unit sees: its own, or of a unit it uses.
-
-    Two equi-joins, on the name and on (unit, seen unit); names compare case-insensitive.
-    """
-    s = symbols.select("symbol_id", F.col("unit").alias("symbol_unit"), F.col("name").alias("symbol_name"), F.lower("name").alias("_key"))
-    own = usages.select(F.col("unit").alias("_u"), F.col("unit").alias("_seen"))
-    seen = uses.select(F.col("unit").alias("_u"), F.col("used").alias("_seen")).union(own).select(F.lower("_u").alias("_u"), F.lower("_seen").alias("_seen")).distinct()
-    joined = usages.withColumn("_key", F.lower("name")).join(s, "_key")
-    return joined.join(seen, (F.lower("unit") == F.col("_u")) & (F.lower("symbol_unit") == F.col("_seen"))).drop("_key", "_u", "_seen")
-
-
-def _visible(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> DataFrame:
-    """(_unit, _key, _n, symbol_id), written: for each distinct unit and name of the usages, lower-cased, how many symbols of that name
-    their unit sees, its own or of a unit it uses, and the smallest.
+def _visible(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each distinct (_unit, _key) of the usages (unit and name, lower-cased) what their unit sees of that name, its own or of a unit it uses:
+    (_n, symbol_id) how many symbols and the smallest, written; (_text, _all) their sorted qualified names.
 
     Two equi-joins, on the name and on (unit, seen unit), of distinct keys only: neither usages nor
     symbols of one unit and name multiply each other.
@@ -49,28 +37,35 @@ def _visible(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> DataFram
     wanted = usages.select(F.lower("unit").alias("_unit"), F.lower("name").alias("_key")).distinct()
     own = wanted.select("_unit", F.col("_unit").alias("_seen"))
     seen = uses.select(F.lower("unit").alias("_unit"), F.lower("used").alias("_seen")).union(own).distinct()
-    declared = symbols.groupBy(F.lower("unit").alias("_seen"), F.lower("name").alias("_key")).agg(F.count("*").alias("_n"), F.min("symbol_id").alias("symbol_id"))
-    met = wanted.join(declared, "_key").join(seen, ["_unit", "_seen"]).groupBy("_unit", "_key")
-    return materialize(met.agg(F.sum("_n").alias("_n"), F.min("symbol_id").alias("symbol_id")), "visible")
+    declared = symbols.groupBy(F.lower("unit").alias("_seen"), F.lower("name").alias("_key"))
+
+    def joined(*facts: Column) -> GroupedData:
+        return wanted.join(declared.agg(*facts), "_key").join(seen, ["_unit", "_seen"]).groupBy("_unit", "_key")
+
+    counts = joined(F.count("*").alias("_n"), F.min("symbol_id").alias("symbol_id")).agg(F.sum("_n").alias("_n"), F.min("symbol_id").alias("symbol_id"))
+    names = joined(F.collect_list(F.concat_ws(".", "unit", "name")).alias("_all")).agg(F.array_sort(F.flatten(F.collect_list("_all"))).alias("_all"))
+    return materialize(counts, "visible"), names.select("_unit", "_key", F.array_join("_all", "; ").alias("_text"), "_all")
 
 
 def resolve_usages(usages: DataFrame, symbols: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(references, ambiguities) of usages (usage_id, unit, name, ...): one visible candidate of a usage_id is a reference, more are an ambiguity, none drops the usage.
 
-    For references, candidates are counted for each distinct unit and name, so no row is made for a usage and a candidate.
+    Candidates are counted for each distinct unit and name, so no row is made for a usage and a candidate.
     A usage with one candidate of its own is ambiguous if another row has its usage_id and a candidate.
     """
-    counts = _visible(usages, symbols, uses)
+    counts, names = _visible(usages, symbols, uses)
     keys = usages.columns
-    keyed = usages.withColumns({"_unit": F.lower("unit"), "_key": F.lower("name")}).join(broadcast_if_small(counts), ["_unit", "_key"])
+    keyed = usages.withColumns({"_unit": F.lower("unit"), "_key": F.lower("name")})
+    found = keyed.join(broadcast_if_small(counts), ["_unit", "_key"])
     # only rows with one candidate carry their columns to the others of their usage_id
-    lean = keyed.select(F.col("usage_id").alias("_id"), "_n", F.when(F.col("_n") == 1, F.struct(*keys, "symbol_id")).alias("_row"))
+    lean = found.select(F.col("usage_id").alias("_id"), "_n", F.when(F.col("_n") == 1, F.struct(*keys, "_unit", "_key", "symbol_id")).alias("_row"))
     single = lean.withColumn("_n", F.sum("_n").over(Window.partitionBy("_id"))).where("_row is not null")
-    refs = single.where("_n = 1").select("_row.*")
-    found = candidates(usages, symbols, uses)
-    counted = found.withColumn("_n", F.count("*").over(Window.partitionBy("usage_id")))
-    names = F.array_sort(F.collect_list(F.concat_ws(".", "symbol_unit", "symbol_name")))
-    ambiguous = counted.where("_n > 1").groupBy(*keys).agg(F.array_join(names, "; ").alias("candidates"))
+    refs = single.where("_n = 1").select("_row.*").select(*keys, "symbol_id")
+    several = found.where("_n > 1").select(*keys, "_unit", "_key").union(single.where("_n > 1").select("_row.*").select(*keys, "_unit", "_key"))
+    # a row that repeats as a whole has each candidate as often; its repetitions meet where the names are joined
+    several = several.repartition("_unit", "_key").groupBy(*keys, "_unit", "_key").agg(F.count("*").cast("int").alias("_c"))
+    repeated = F.array_join(F.flatten(F.transform("_all", lambda x: F.array_repeat(x, F.col("_c")))), "; ")
+    ambiguous = several.join(names, ["_unit", "_key"]).select(*keys, F.when(F.col("_c") == 1, F.col("_text")).otherwise(repeated).alias("candidates"))
     return refs, ambiguous
 
 

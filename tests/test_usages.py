@@ -59,7 +59,7 @@ def test_odd_usages(spark, same):
     same(ambiguous.toPandas().astype({"usage_id": "Int64"}), expected[1].astype({"usage_id": "Int64"}))
 
 
-@pytest.mark.parametrize("which", [0])
+@pytest.mark.parametrize("which", [0, 1])
 def test_usages_do_not_multiply_symbols(spark, which):
     """400 usages that see 300 symbols each: 120,000 candidates, no row for each."""
     usages = [(i, f"unit{i % 2}", "x") for i in range(400)] + [(1000 + i, "unit0", f"y{i}") for i in range(50)]
