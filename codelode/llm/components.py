@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.session import materialize
+from codelode.session import materialize, ship
 
-#: Up to this many edges one task does a round without shuffles; beyond it, rounds are dealt out by node.
+#: Up to this many edges one task finds the components in one pass; beyond it, rounds are dealt out by node.
 ONE_TASK = 20_000
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all the edges (u, v), by union-find; a root is its tree's smallest node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((find(root.setdefault(u, u)), find(root.setdefault(v, v))))
+            root[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
-    Alternates large-star and small-star until the edge set stops changing.
+    Up to ONE_TASK edges one task finishes. More alternate large-star and small-star until the edge set stops changing.
     Each half groups by node with map-side minima and joins the minima back, so
     a hub with a third of all edges is pre-aggregated and its join side can be
     split; the rounds grow with the logarithm of the longest path. Null ends and
     self-loops are ignored; an empty edge list gives an empty result.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    ship(edges.sparkSession)
+    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     e = materialize(e.where("u is not null and v is not null and u <> v").distinct(), tag)
     seen = None
     while True:
@@ -29,10 +49,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str
             break
         seen = state
         if state[0] <= ONE_TASK:
-            e = e.coalesce(1)
+            return e.select("u", "v").coalesce(1).mapInArrow(_forest, "node long, component long")
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        if state[0] <= ONE_TASK:
-            both = both.coalesce(1)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()

@@ -346,6 +346,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     posted = alone.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     # once per node; different texts of a repeated id all stand for it
     meta = alone.groupBy(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "d0", "d1").agg(F.first("bits").alias("bits")).select("node", "n", "bits")
+    meta = materialize(meta, "meta")  # every check and every round of tiles reads it
     comp = linked_components(posted, _verifier(docs, meta, k, num, den), _cross(meta, num, den))
 
     groups = member.distinct().join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -1,7 +1,9 @@
 import random
+import time
 
 import pytest
 
+from codelode.llm import components
 from codelode.llm.components import connected_components
 from codelode.llm.ngram_join import Bands, bitmap, folded, ngram_jaccard_join, part_keys
 from codelode.llm.shingles import WordHashes, ascii_words, shingle_hashes
@@ -102,3 +104,17 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_take_one_pass(spark, monkeypatch):
+    """A path of 600 nodes in shuffled order: written, counted, and found by one task; the same from the rounds of many edges."""
+    ids = random.Random(3).sample(range(10_000), 600)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+    store = spark._jsparkSession.sharedState().statusStore()
+    time.sleep(1)  # the store hears of a query after its end
+    began = store.executionsCount()
+    found = {tuple(r) for r in connected_components(edges).collect()}
+    time.sleep(1)
+    assert store.executionsCount() - began <= 3
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert found == {tuple(r) for r in connected_components(edges).collect()} == {(x, min(ids)) for x in ids}
