@@ -1,20 +1,19 @@
-"""Exact byte-level BPE ids of whole texts, with a bounded cache of encoded words.
+"""Exact byte-level BPE ids of whole texts.
 
 A byte-level BPE whose pre-tokenizer lets only a leading space join a word never
 merges across a single space between two characters that are not white space. A
 text is therefore cut before such spaces and the pieces are encoded on their own;
-equal pieces are encoded once. The result is that of encoding the whole text.
+equal pieces are encoded once, in a bounded cache. The result is that of encoding the whole text.
 
 Where a vocabulary's merges come in the order of their ids, ranked merging of the
-same table gives the same ids, faster; pieces that hold an added token, and other
-tokenizers, stay with ``tokenizers``.
+same table gives the same ids for whole texts, faster, without a cache; texts that hold an
+added token, and other tokenizers, stay with ``tokenizers``.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 
 import numpy as np
 import tiktoken
@@ -71,12 +70,13 @@ class PieceEncoder:
 
     def _word_ids(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word with a space before it."""
-        if self.ranked is None:
-            return dict(zip(words, self._ids([" " + x for x in words]), strict=True))
-        plain = self.ranked.encode_ordinary
-        out = {x: array("I", plain(" " + x)).tobytes() for x in words}
-        odd = [x for x in words if any(a in x for a in self.added)]
-        out.update(zip(odd, self._ids([" " + x for x in odd]), strict=True))
+        return dict(zip(words, self._ids([" " + x for x in words]), strict=True))
+
+    def _ranked_ids(self, texts: list[str]) -> list[bytes]:
+        odd = {k: x for k, x in enumerate(texts) if any(a in x for a in self.added)}
+        out = [b"" if k in odd else self.ranked.encode_to_numpy(x).astype("<u4", copy=False).tobytes() for k, x in enumerate(texts)]
+        for k, ids in zip(odd, self._ids(list(odd.values())), strict=True):
+            out[k] = ids
         return out
 
     @staticmethod
@@ -91,6 +91,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if self.ranked is not None:
+            return self._ranked_ids(texts)
         if any(" " in x for x in self.added):  # such a token would be cut
             return self._ids(texts)
         cached = self.inner

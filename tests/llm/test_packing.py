@@ -28,6 +28,18 @@ def test_pieces_encode_like_whole_texts(encoder):
     assert encoder.encode(texts) == whole  # from the cache
 
 
+def test_ranked_and_piecewise_ids_are_those_of_whole_texts(encoder):
+    """Every code point beside letters, digits, spaces and itself; both ways of encoding."""
+    piecewise = tokens.PieceEncoder(encoder.tokenizer.to_str().encode())
+    piecewise.ranked = None
+    chars = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = TEXTS + ["".join(f"a{c}b {c} c{c} 1{c}2 {c}{c}  {c}\n " for c in chars[at : at + 64]) for at in range(0, len(chars), 64)]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.ranked is not None and encoder.encode(texts) == whole
+    assert not encoder.inner  # nothing is cached per word
+    assert piecewise.encode(texts) == whole
+
+
 def test_crossover_keeps_each_item_once():
     rng = random.Random(2)
     size = [rng.randrange(1, 1500) for _ in range(300)]
