@@ -109,13 +109,12 @@ def lower_bound(size: list[int], window: int) -> int:
     return -(-sum(size) // window)
 
 
-def evolve(size: list[int], window: int, seed: int, population: int = 4, generations: int | None = None, start: Packing | None = None, guests: Packing | None = None) -> Packing:
+def evolve(size: list[int], window: int, seed: int, population: int = 6, generations: int = 40, start: Packing | None = None, guests: Packing | None = None) -> Packing:
     """The best packing of one island, from ``start`` (best fit, if none) and the elite bins of another. Stops early at the lower bound.
 
-    A child costs as many steps as there are pieces, so by default small islands get more generations (6 to 40).
+    Every island gets all its generations, whatever its size.
     """
     rng = np.random.default_rng(seed)
-    generations = generations or min(40, max(6, 24_000 // max(1, len(size))))
     bound = lower_bound(size, window)
     first = start or best_fit([], list(range(len(size))), size, window)
     if len(first) <= bound:

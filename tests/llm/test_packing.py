@@ -40,6 +40,17 @@ def test_ranked_and_piecewise_ids_are_those_of_whole_texts(encoder):
     assert piecewise.encode(texts) == whole
 
 
+def test_large_islands_get_all_generations(monkeypatch):
+    size, made = triplets(random.Random(8), 1400, 2048)[:4096], []
+    whole = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *x: made.append(1) or whole(*x))
+    few = packing.evolve(size, 2048, seed=1, population=4, generations=6)
+    made.clear()
+    bins = packing.evolve(size, 2048, seed=1)
+    assert len(made) == 40 and sorted(i for b in bins for i in b) == list(range(4096))
+    assert len(bins) < len(few) < len(packing.best_fit([], list(range(4096)), size, 2048))
+
+
 def test_crossover_keeps_each_item_once():
     rng = random.Random(2)
     size = [rng.randrange(1, 1500) for _ in range(300)]
