@@ -48,6 +48,11 @@ MOST_BITS = 8192
 CELLS = 1 << 21
 
 
+def _words() -> WordHashes:
+    """A worker's word hashes, some 10 MB: idle workers keep theirs beside the executor's heap."""
+    return WordHashes(1 << 16)
+
+
 def bands(num: int, den: int, growth: float = 1.5) -> "Bands":
     return Bands(num, den, growth)
 
@@ -120,7 +125,7 @@ def folded(bits: bytes, words: int) -> np.ndarray:
 
 def _signatures(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, cut = kept("words", WordHashes), Bands(num, den, 1.5)
+        words, cut = kept("words", _words), Bands(num, den, 1.5)
         for batch in batches:
             sizes, d0, d1, keys, bits = [], [], [], [], []
             for text in batch.column(1):
@@ -157,7 +162,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, unpack = kept("words", WordHashes), zstandard.ZstdDecompressor()
+        words, unpack = kept("words", _words), zstandard.ZstdDecompressor()
 
         def of(packed: bytes) -> np.ndarray:
             return shingle_hashes(words.of(unpack.decompress(packed).lower().split()), k)

@@ -1,9 +1,10 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
-from codelode.llm import components
+from codelode.llm import components, ngram_join, workers
 from codelode.llm.components import connected_components
 from codelode.llm.ngram_join import Bands, bitmap, folded, ngram_jaccard_join, part_keys
 from codelode.llm.shingles import WordHashes, ascii_words, shingle_hashes
@@ -106,6 +107,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_workers_word_cache_is_small(monkeypatch):
+    """The signatures of 100,000 different words leave at most 65,536 of them in the worker."""
+    monkeypatch.setattr(workers, "_kept", {})
+    texts = [" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, 100_000, 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], names=["doc_id", "text"])
+    sizes = [n for out in ngram_join._signatures(4, 85, 100)(iter([batch])) for n in out.column("n_shingles").to_pylist()]
+    assert sizes == [997] * 100 and 0 < len(workers._kept["words"]) <= 1 << 16
+
+
 def test_few_edges_take_one_pass(spark, monkeypatch):
     """A path of 600 nodes in shuffled order: written, counted, and found by one task; the same from the rounds of many edges."""
     ids = random.Random(3).sample(range(10_000), 600)
